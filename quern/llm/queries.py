@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import canon
+from quern.llm import canon, simjoin
 from quern.session import table
 
+#: What TESTDATA.md calls similar.
+SIMILAR = {"k": 3, "t": Fraction(1, 2), "least": 8}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": lambda s, d: simjoin.near_pairs(table(s, d, "samples"), **SIMILAR),
+    "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples")),
     "p3_found": lambda s, d: canon.look_alike_pairs(table(s, d, "samples")),
     "p3_forms": lambda s, d: canon.form_classes(table(s, d, "samples")),
 }
