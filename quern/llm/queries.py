@@ -7,17 +7,25 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import canon, simjoin
+from quern.llm import batches, canon, simjoin
 from quern.session import table
 
 #: What TESTDATA.md calls similar.
 SIMILAR = {"k": 3, "t": Fraction(1, 2), "least": 8}
 
+
+def _screened(s: SparkSession, d: str, **options):
+    return batches.screened(s, table(s, d, "samples"), table(s, d, "incoming_posts"), **SIMILAR, **options)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: simjoin.near_pairs(table(s, d, "samples"), **SIMILAR),
     "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples")),
     "p3_found": lambda s, d: canon.look_alike_pairs(table(s, d, "samples")),
     "p3_forms": lambda s, d: canon.form_classes(table(s, d, "samples")),
+    "p4_found": lambda s, d: _screened(s, d)[1].rejected.select("id"),
+    "p4_accepted": lambda s, d: _screened(s, d)[1].accepted(),
+    "p4_report": lambda s, d: batches.report(*_screened(s, d, paragraphs=True)),
 }
 
 ORACLE_SQL: dict[str, str] = {}
