@@ -6,8 +6,9 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import batches, canon, simjoin
+from quern.llm import batches, bpe, canon, simjoin
 from quern.session import table
 
 #: What TESTDATA.md calls similar.
@@ -26,6 +27,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: _screened(s, d)[1].rejected.select("id"),
     "p4_accepted": lambda s, d: _screened(s, d)[1].accepted(),
     "p4_report": lambda s, d: batches.report(*_screened(s, d, paragraphs=True)),
+    "p7_ids": lambda s, d: bpe.with_ids(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
+    "p7_round_trip": lambda s, d: bpe.with_text(bpe.with_ids(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", "decoded", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("same")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS decoded, true AS same FROM documents",
+}
