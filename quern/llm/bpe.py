@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.session import spread
 
@@ -205,15 +206,15 @@ def with_ids(df: DataFrame, text: str = "text", out: str = "ids", path: str | No
     Null and empty texts give the empty list; strings that look like special
     tokens are ordinary text. No shuffle but for inputs of too few splits.
     """
-    return _encoded(df, text, out, path, lambda ids: pa.array(ids, pa.list_(pa.int32())), "array<int>")
+    return _encoded(df, text, out, path, lambda ids: pa.array(ids, pa.list_(pa.int32())), T.ArrayType(T.IntegerType()))
 
 
 def with_token_count(df: DataFrame, text: str = "text", out: str = "tokens", path: str | None = None) -> DataFrame:
     """``df`` and the column ``out``: the number of token ids, 0 for null and empty texts."""
-    return _encoded(df, text, out, path, lambda ids: pa.array([len(x) for x in ids], pa.int32()), "int")
+    return _encoded(df, text, out, path, lambda ids: pa.array([len(x) for x in ids], pa.int32()), T.IntegerType())
 
 
-def _encoded(df: DataFrame, text: str, out: str, path: str | None, make, kind: str) -> DataFrame:
+def _encoded(df: DataFrame, text: str, out: str, path: str | None, make, kind: T.DataType) -> DataFrame:
     path = path or vocabulary_path()
     kept = [c for c in df.columns if c.lower() != out.lower()]
 
@@ -244,7 +245,7 @@ def with_text(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str |
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(texts, pa.string())], names=[*kept, out])
 
     src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{ids}`").alias("__q_ids"))
-    return src.mapInArrow(run, src.drop("__q_ids").schema.add(out, "string"))
+    return src.mapInArrow(run, src.drop("__q_ids").schema.add(out, T.StringType()))
 
 
 def ranks(path: str) -> dict[bytes, int]:
