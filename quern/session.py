@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     For tables read more than once: columnar, compressed, prunable.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
