@@ -8,8 +8,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import batches, bpe, canon, simjoin
-from quern.session import table
+from quern.llm import batches, bpe, canon, quality, simjoin
+from quern.session import spread, table
 
 #: What TESTDATA.md calls similar.
 SIMILAR = {"k": 3, "t": Fraction(1, 2), "least": 8}
@@ -29,6 +29,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_report": lambda s, d: batches.report(*_screened(s, d, paragraphs=True)),
     "p7_ids": lambda s, d: bpe.with_ids(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
     "p7_round_trip": lambda s, d: bpe.with_text(bpe.with_ids(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", "decoded", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("same")),
+    "p9_found": lambda s, d: quality.not_prose(spread(table(s, d, "documents").select("doc_id", "text"))),
+    "p9_statistics": lambda s, d: quality.judged(spread(table(s, d, "documents").select("doc_id", "text"))),
 }
 
 ORACLE_SQL: dict[str, str] = {

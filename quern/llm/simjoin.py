@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import WordHash, hash_batch, shingle_batch, texts_of, words
+from quern.llm.words import WordHash, counter, hash_batch, shingle_batch, texts_of, words
 from quern.session import cut, spread, stored
 
-COUNTERS = 1 << 16
+WORDS, RUNS = 1 << 16, 1 << 20
 HOT = 20_000
 _LONG, _INT, _BIN = pa.int64(), pa.int32(), pa.binary()
 
@@ -61,21 +61,46 @@ def word_table(df: DataFrame, least: int, keep: str = "") -> DataFrame:
     return df.where("id is not null and text is not null").select("id", "text", *([keep] if keep else [])).mapInArrow(run, schema)
 
 
-def word_counts(reps: DataFrame) -> np.ndarray:
-    """Counts of all words of the table in COUNTERS counters, by hash: 512 KB however large the table."""
+Counts = tuple[np.ndarray, np.ndarray]
+
+
+def run_counts(reps: DataFrame, k: int) -> Counts:
+    """Counts of all words and all runs of the table, in WORDS and RUNS counters: 4.3 MB however large the table.
+
+    They only give the order of runs; texts that share a counter cost time,
+    never a pair.
+    """
+    step = 1 << 13
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, count = WordHash(), np.zeros(COUNTERS, np.int64)
+        memo, count = WordHash(), np.zeros(WORDS + RUNS, np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 5000):
+                h, off = hash_batch(texts_of(whole.slice(start, 5000), 0), memo)
+                _, sh, _ = shingle_batch(h, off, k)
+                count[:WORDS] += np.bincount(counter(h, WORDS), minlength=WORDS)
+                count[WORDS:] += np.bincount(counter(sh, RUNS), minlength=RUNS)
+        raw = np.minimum(count, 2**31 - 1).astype(np.int32).reshape(-1, step)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(raw), dtype=np.int32)), pa.array([x.tobytes() for x in raw], _BIN)], names=["at", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            h, _ = hash_batch(texts_of(b, 0), memo)
-            count += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32), _INT), pa.array(count[at], _LONG)], names=["k", "n"])
+            for at, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
+        blobs = [np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), _INT), pa.array(blobs, _BIN)], names=["at", "counts"])
+
+    parts = reps.select("words").mapInArrow(run, "at int, counts binary").repartition("at").mapInArrow(add, "at int, counts binary")
+    out = np.zeros(WORDS + RUNS, np.int32)
+    for row in parts.collect():  # (WORDS + RUNS) / step rows
+        out[row.at * step : (row.at + 1) * step] = np.frombuffer(row.counts, np.int32)
+    return out[:WORDS], out[WORDS:]
+
 
-    rows = reps.select("words").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows["k"].to_numpy()] = rows["n"].to_numpy()
-    return out
+def top_count(counts: Counts) -> int:
+    """No run is in more texts."""
+    return int(min(counts[0].max(initial=0), counts[1].max(initial=0)))
 
 
 def needed(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
@@ -84,7 +109,7 @@ def needed(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-(na + nb) * up) // down)
 
 
-def entries(reps: DataFrame, counts: np.ndarray, k: int, t: Fraction, keep: str = "") -> DataFrame:
+def entries(reps: DataFrame, counts: Counts, k: int, t: Fraction, keep: str = "") -> DataFrame:
     """Entries of the short lists: (sh, id, n, pos, rank, bits[, keep])."""
     rank = reps.sparkSession.sparkContext.broadcast(counts)
 
@@ -127,8 +152,8 @@ def entries(reps: DataFrame, counts: np.ndarray, k: int, t: Fraction, keep: str
 def in_cells(e: DataFrame, top: int, hot: int) -> DataFrame:
     """Adds (lo, hi, block): the cell of a list that an entry is merged in. Lists of up to ``hot`` entries have one cell.
 
-    A run is in no more texts than its rarest word, so only entries of a higher
-    rank are counted; if no word is that frequent, none are.
+    A run is in no more texts than its rank says, so only entries of a higher
+    rank are counted; if no rank is that high, none are.
     """
     one = lambda x: x.withColumns({"lo": F.lit(0), "hi": F.lit(0), "block": F.lit(0)})
     if top <= hot:
@@ -152,24 +177,32 @@ def merged(e: DataFrame, t: Fraction, one_sided: bool = False) -> DataFrame:
         change = np.ones(m, bool)
         change[1:] = (x["sh"][1:] != x["sh"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])
         ends = np.append(np.flatnonzero(change)[1:], m)
-        end = ends[np.cumsum(change) - 1]
-        at, found = np.arange(m), []
-        for d in range(1, m):
-            at = at[at + d < end[at]]
-            if not len(at):
-                break
-            for piece in np.array_split(at, len(at) // 200_000 + 1):
-                i, j = piece, piece + d
-                na, nb = x["n"][i], x["n"][j]
-                need = needed(na, nb, t)
-                ok = (x["pos"][i] <= na - need) & (x["pos"][j] <= nb - need) & (x["id"][i] != x["id"][j])
-                if one_sided:
-                    ok &= (x["new"][i] + x["new"][j]) > 0
-                ok &= (np.minimum(x["block"][i], x["block"][j]) == x["lo"][i]) & (np.maximum(x["block"][i], x["block"][j]) == x["hi"][i])
-                i, j, slack = i[ok], j[ok], (na + nb - 2 * need)[ok]
-                ok = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(axis=1) <= slack
-                i, j = x["id"][i[ok]], x["id"][j[ok]]
-                found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1))
+        run = np.cumsum(change) - 1
+        # A list goes by size: the partners of an entry, from its own place on,
+        # end with the largest size at which its place still leaves enough runs.
+        up, down = t.numerator, t.numerator + t.denominator
+        most = np.maximum((down * (x["n"] - x["pos"])) // up - x["n"], -1)
+        wide = int(x["n"].max()) + 2
+        stop = np.searchsorted(run * wide + x["n"], run * wide + np.minimum(most, wide - 2), "right")
+        each = np.maximum(np.minimum(stop, ends[run]) - np.arange(m) - 1, 0)
+        upto, found, start = np.cumsum(each), [], 0
+        while start < m:
+            stop_at = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 500_000, "right")))
+            part = each[start:stop_at]
+            i = np.repeat(np.arange(start, stop_at), part)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+            start = stop_at
+            na, nb = x["n"][i], x["n"][j]
+            need = needed(na, nb, t)
+            ok = (x["pos"][i] <= na - need) & (x["pos"][j] <= nb - need)
+            if one_sided:
+                ok &= (x["new"][i] + x["new"][j]) > 0
+            i, j, slack = i[ok], j[ok], (na + nb - 2 * need)[ok]
+            ok = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(axis=1, dtype=np.int64) <= slack
+            i, j = i[ok], j[ok]
+            ok = (np.minimum(x["block"][i], x["block"][j]) == x["lo"][i]) & (np.maximum(x["block"][i], x["block"][j]) == x["hi"][i])
+            i, j = x["id"][i[ok]], x["id"][j[ok]]
+            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)[i != j])
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
     names = ["sh", "lo", "hi", "n", "id", "pos", "block"] + (["new"] if one_sided else [])
@@ -249,9 +282,9 @@ def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", k: int =
     w = stored(word_table(src, least), "words")
     reps = stored(w.groupBy("h").agg(F.min("id").alias("id"), F.first("words").alias("words")), "reps")
     members = w.join(reps.select("h", F.col("id").alias("rep")), "h").select("id", "rep")
-    counts = word_counts(reps)
+    counts = run_counts(reps, k)
     e = entries(reps, counts, k, t)
-    pairs = merged(in_cells(e, int(counts.max(initial=0)), hot), t)
+    pairs = merged(in_cells(e, top_count(counts), hot), t)
     return Near(members, reps.select("id", "words"), stored(probed(pairs, reps, k, t), "pairs"))
 
 
