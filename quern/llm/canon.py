@@ -90,17 +90,27 @@ _SUSPECT = re.compile(r"[^\n -~]")
 _PYTHON_BEFORE = [(re.compile(p), to) for p, to in _BEFORE]
 
 
+@lru_cache(maxsize=1)
+def _odd() -> re.Pattern[str]:
+    """A character that isn't inert; the joiner is looked at on its own."""
+    return re.compile("[^" + re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: re.escape(chr(int(m[1], 16))), inert_class()[: -len("\\x{200D}")]) + "]")
+
+
 def canonical(text: str | None) -> str | None:
     """The consistent form of ``text``; null stays null, a blank text becomes empty."""
     if text is None:
         return None
-    if _SUSPECT.search(text):
-        for pattern, to in _PYTHON_BEFORE:
-            text = pattern.sub(to, text)
-        text = ud.normalize("NFC", ud.normalize("NFD", text).translate(translation()))
+    if _SUSPECT.search(text) and _odd().search(text):
+        text = _full(text)
     return text.strip(_BLANK_ENDS)
 
 
+def _full(text: str) -> str:
+    for pattern, to in _PYTHON_BEFORE:
+        text = pattern.sub(to, text)
+    return ud.normalize("NFC", ud.normalize("NFD", text).translate(translation()))
+
+
 @lru_cache(maxsize=1)
 def _composites() -> dict[str, str]:
     """Primary composites by (first, second)."""
@@ -151,7 +161,7 @@ def inert_class() -> str:
 
     A shortcut only: text of these alone is its own form, so it isn't exploded.
     """
-    odd = {ch for ch, _ in tables()[0] if len(ud.normalize("NFC", ch)) != 1 or ch != canonical("x" + ch + "x")[1:-1]}
+    odd = {ch for ch, _ in tables()[0] if len(ud.normalize("NFC", ch)) != 1 or ch != _full("x" + ch + "x")[1:-1]}
     spans = [(0x0A, 0x0A), (0x20, 0x24F), (0x1E00, 0x1EF9), (0x2010, 0x20CF), (0x2190, 0x2BFF), (0x3001, 0x33FF), (0x4E00, 0x9FFF), (0x1F000, 0x1FAFF)]
     joined = _joining()
     out, start, last = [], None, None

@@ -38,12 +38,17 @@ def hash_batch(texts: list[str], memo: WordHash) -> tuple[np.ndarray, np.ndarray
     return np.fromiter((get(w) for x in split for w in x), np.uint64, int(off[-1])), off
 
 
-def shingle_batch(h: np.ndarray, off: np.ndarray, k: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counter(h: np.ndarray, of: int) -> np.ndarray:
+    """Which of ``of`` counters (a power of two) a hash belongs to."""
+    return ((h >> np.uint64(20)) & np.uint64(of - 1)).astype(np.int64)
+
+
+def shingle_batch(h: np.ndarray, off: np.ndarray, k: int, rank: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct runs of ``k`` words: (text index, hash, rank), by text, rank and hash.
 
-    ``rank`` are counts by ``hash % len(rank)``; a run's rank is that of its
-    rarest word, an order that is the same for all texts. Without it the order
-    is by hash.
+    ``rank`` are counts of words and of runs, by ``counter``; a run's rank is
+    the least of its own and its words' counts, an order that is the same for
+    all texts. Without it the order is by hash.
     """
     n = len(h) - k + 1
     if n <= 0:
@@ -57,12 +62,17 @@ def shingle_batch(h: np.ndarray, off: np.ndarray, k: int, rank: np.ndarray | Non
     doc, run = doc[:n][keep], run[keep]
     r = np.zeros(len(run), np.int64)
     if rank is not None:
-        c = rank[h & np.uint64(len(rank) - 1)]
+        c = rank[0][counter(h, len(rank[0]))]
         low = c[:n]
         for i in range(1, k):
             low = np.minimum(low, c[i : i + n])
-        r = low[keep]
-    o = np.lexsort((run, r, doc))
+        r = np.minimum(low[keep], rank[1][counter(run, len(rank[1]))]).astype(np.int64)
+    # one key to sort by: text, rank (exact while small, then by its logarithm), hash
+    if len(off) <= 1 << 13:
+        level = np.where(r < 1024, r, 1024 + (32 * np.log2(np.maximum(r, 1) / 1024)).astype(np.int64))
+        o = np.argsort((doc.astype(np.uint64) << np.uint64(51)) | (np.minimum(level, 2047).astype(np.uint64) << np.uint64(40)) | (run >> np.uint64(24)))
+    else:
+        o = np.lexsort((run, r, doc))
     doc, run, r = doc[o], run[o], r[o]
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
