@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import batches, bpe, canon, quality, simjoin
+from quern.llm import batches, bpe, canon, consensus, quality, simjoin
 from quern.session import spread, table
 
 #: What TESTDATA.md calls similar.
@@ -19,6 +19,10 @@ def _screened(s: SparkSession, d: str, **options):
     return batches.screened(s, table(s, d, "samples"), table(s, d, "incoming_posts"), **SIMILAR, **options)
 
 
+def _consensus(s: SparkSession, d: str) -> consensus.Consensus:
+    return consensus.consensus(table(s, d, "rater_labels"), table(s, d, "samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: simjoin.near_pairs(table(s, d, "samples"), **SIMILAR),
     "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples")),
@@ -27,6 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: _screened(s, d)[1].rejected.select("id"),
     "p4_accepted": lambda s, d: _screened(s, d)[1].accepted(),
     "p4_report": lambda s, d: batches.report(*_screened(s, d, paragraphs=True)),
+    "p6_found": lambda s, d: consensus.disputed(_consensus(s, d)),
+    "p6_labels": lambda s, d: consensus.item_labels(_consensus(s, d)),
+    "p6_reliability": lambda s, d: consensus.reliability(_consensus(s, d)),
+    "p6_agreement": lambda s, d: consensus.krippendorff(table(s, d, "rater_labels")),
     "p7_ids": lambda s, d: bpe.with_ids(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
     "p7_round_trip": lambda s, d: bpe.with_text(bpe.with_ids(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", "decoded", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("same")),
     "p9_found": lambda s, d: quality.not_prose(spread(table(s, d, "documents").select("doc_id", "text"))),
@@ -34,5 +42,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "p6_agreement": """
+        WITH c AS (SELECT inner_id, coalesce(annotator, '') AS annotator, label_human AS y,
+                          row_number() OVER (PARTITION BY inner_id, coalesce(annotator, '') ORDER BY labelled_at DESC NULLS LAST, label_human DESC) AS r
+                   FROM rater_labels WHERE inner_id IS NOT NULL AND label_human IN (0, 1)),
+        i AS (SELECT inner_id, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS k FROM c WHERE r = 1 GROUP BY 1 HAVING count(*) >= 2),
+        a AS (SELECT count(*) AS n_items, sum(n) AS n, sum(k) AS k, sum(2 * k * (n - k) / (n - 1)) AS apart FROM i)
+        SELECT n_items, n::BIGINT AS n_labels, round(apart / n, 8) AS observed, round(2 * k * (n - k) / (n * (n - 1)), 8) AS expected,
+               CASE WHEN 2 * k * (n - k) / (n * (n - 1)) = 0 THEN 1.0 ELSE round(1 - (apart / n) / (2 * k * (n - k) / (n * (n - 1))), 8) END AS alpha FROM a""",
     "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS decoded, true AS same FROM documents",
 }
