@@ -8,8 +8,8 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import batches, bpe, canon, consensus, quality, simjoin
-from quern.session import spread, table
+from quern.llm import batches, bpe, canon, consensus, mixing, quality, simjoin
+from quern.session import spread, stored, table
 
 #: What TESTDATA.md calls similar.
 SIMILAR = {"k": 3, "t": Fraction(1, 2), "least": 8}
@@ -23,6 +23,11 @@ def _consensus(s: SparkSession, d: str) -> consensus.Consensus:
     return consensus.consensus(table(s, d, "rater_labels"), table(s, d, "samples"))
 
 
+def _shares(s: SparkSession, d: str) -> DataFrame:
+    targets = table(s, d, "mix_targets")
+    return mixing.shares(stored(mixing.mixture(table(s, d, "documents"), targets), "mixture"), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: simjoin.near_pairs(table(s, d, "samples"), **SIMILAR),
     "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples")),
@@ -37,6 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_agreement": lambda s, d: consensus.krippendorff(table(s, d, "rater_labels")),
     "p7_ids": lambda s, d: bpe.with_ids(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
     "p7_round_trip": lambda s, d: bpe.with_text(bpe.with_ids(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", "decoded", F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("same")),
+    "p8_mixture": lambda s, d: mixing.mixture(table(s, d, "documents"), table(s, d, "mix_targets")),
+    "p8_shares": lambda s, d: _shares(s, d),
     "p9_found": lambda s, d: quality.not_prose(spread(table(s, d, "documents").select("doc_id", "text"))),
     "p9_statistics": lambda s, d: quality.judged(spread(table(s, d, "documents").select("doc_id", "text"))),
 }
