@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import batches, bpe, canon, consensus, mixing, quality, simjoin
+from quern.llm import abuse, batches, bpe, canon, consensus, mixing, quality, simjoin
 from quern.session import spread, stored, table
 
 #: What TESTDATA.md calls similar.
@@ -36,6 +36,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: _screened(s, d)[1].rejected.select("id"),
     "p4_accepted": lambda s, d: _screened(s, d)[1].accepted(),
     "p4_report": lambda s, d: batches.report(*_screened(s, d, paragraphs=True)),
+    "p5_found": lambda s, d: abuse.flagged(abuse.scores(table(s, d, "samples"), table(s, d, "review_labels"))),
+    "p5_scores": lambda s, d: abuse.scores(table(s, d, "samples"), table(s, d, "review_labels")),
+    "p5_rates": lambda s, d: abuse.rates(abuse.scores(table(s, d, "samples"), table(s, d, "review_labels"))),
     "p6_found": lambda s, d: consensus.disputed(_consensus(s, d)),
     "p6_labels": lambda s, d: consensus.item_labels(_consensus(s, d)),
     "p6_reliability": lambda s, d: consensus.reliability(_consensus(s, d)),
