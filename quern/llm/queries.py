@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import abuse, batches, bpe, canon, consensus, mixing, quality, simjoin
+from quern.llm import abuse, batches, bpe, canon, consensus, mixing, pii, quality, simjoin
 from quern.session import spread, stored, table
 
 #: What TESTDATA.md calls similar.
@@ -29,6 +29,8 @@ def _shares(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": lambda s, d: pii.found(table(s, d, "samples")),
+    "p1_redacted": lambda s, d: pii.redacted(table(s, d, "samples").select("id", "text")).select("id", "redacted"),
     "p2_found": lambda s, d: simjoin.near_pairs(table(s, d, "samples"), **SIMILAR),
     "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples")),
     "p3_found": lambda s, d: canon.look_alike_pairs(table(s, d, "samples")),
