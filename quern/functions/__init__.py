@@ -1 +1 @@
-
+"""Expressions, Column -> Column."""
