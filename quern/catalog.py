@@ -247,7 +247,7 @@ _IMAGES = "list_filter(coalesce(image_local, []), lambda x: coalesce(trim(x), ''
 @query(f"""WITH u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY post_link ORDER BY {_ORDER}) AS r FROM thread_sessions WHERE {q_strip('post_link')} <> '') WHERE r = 1),
 src AS (SELECT *, {_IMAGES} AS i FROM u), {_CLEAN.replace("FROM src)", "FROM src WHERE len(i) > 0)")},
 z AS (SELECT *, row_number() OVER (ORDER BY session, post_link) AS id FROM m WHERE clean IS NOT NULL),
-y AS (SELECT *, list_transform(i, lambda x, n: 'images/' || 'post' || lpad(id::VARCHAR, greatest(5, length(id::VARCHAR)), '0') || '_img' || lpad(n::VARCHAR, 2, '0') || {q_suffix('x')}) AS p FROM z)
+y AS (SELECT *, list_transform(i, lambda x, n: 'images/' || 'post' || lpad(id::VARCHAR, greatest(5, length(id::VARCHAR))::INT, '0') || '_img' || lpad(n::VARCHAR, 2, '0') || {q_suffix('x')}) AS p FROM z)
 SELECT id, clean AS text, p[1] AS image_path, len(p)::BIGINT AS n_images, post_link, username, keyword, mode, scraped_at FROM y""")
 def merged_threads(s, d):
     m = M.merged_threads(spread(table(s, d, "thread_sessions")))
@@ -319,7 +319,7 @@ def image_id_extract(s, d):
 
 # ---- images
 
-@query(f"SELECT id, 'post' || lpad(id::VARCHAR, greatest(5, length(id::VARCHAR)), '0') || {q_suffix('image_path')} AS name FROM samples WHERE image_path IS NOT NULL")
+@query(f"SELECT id, 'post' || lpad(id::VARCHAR, greatest(5, length(id::VARCHAR))::INT, '0') || {q_suffix('image_path')} AS name FROM samples WHERE image_path IS NOT NULL")
 def image_name_format(s, d):
     return table(s, d, "samples").where("image_path IS NOT NULL").select("id", X.post_image_name(F.col("id"), F.col("image_path")).alias("name"))
 
@@ -340,7 +340,7 @@ def exists_semi(s, d):
 
 
 @query(f"""WITH r AS (SELECT id + (id % 2) AS id, {q_file('image_path')} AS cur FROM samples WHERE {q_strip('image_path')} <> ''),
-t AS (SELECT *, 'post' || lpad(id::VARCHAR, greatest(5, length(id::VARCHAR)), '0') || {q_suffix('cur')} AS target FROM r),
+t AS (SELECT *, 'post' || lpad(id::VARCHAR, greatest(5, length(id::VARCHAR))::INT, '0') || {q_suffix('cur')} AS target FROM r),
 f AS (SELECT DISTINCT {q_file('path')} AS cur, true AS there FROM ({_LISTING})), l AS (SELECT id FROM samples WHERE id % 20 = 0)
 SELECT t.id, t.cur AS current, target, CASE WHEN t.cur = target THEN 'no_change' WHEN there THEN 'renamed' WHEN l.id IS NOT NULL THEN 'recovered' ELSE 'missing' END AS state
 FROM t LEFT JOIN f USING (cur) LEFT JOIN l ON l.id = t.id""")

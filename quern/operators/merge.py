@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import blank_to_null, clean_threads, file_name, post_image_name
 from quern.operators.dedup import first_by, numbered
+from quern.session import stored
 
 
 def next_id(df: DataFrame, key: str = "id", empty: int = 1) -> int:
@@ -61,7 +62,9 @@ def merged_threads(sessions: DataFrame, seen: DataFrame | None = None, start: in
     d = first_by(d.where(blank_to_null(F.col("post_link")).isNotNull()), "post_link", "__o")
     if seen is not None:
         d = d.join(seen.select("post_link").distinct(), "post_link", "left_anti")
-    d = clean_threads(d.withColumn("__i", image_list(F.col("image_local"))).where(F.size("__i") > 0), "text", "__c").where("__c is not null")
+    d = d.withColumn("__i", image_list(F.col("image_local"))).where(F.size("__i") > 0)
+    # written before the filter, which would else be pushed below the cleaning with a copy of all of it
+    d = stored(clean_threads(d, "text", "__c").drop("__o"), "clean").where("__c is not null")
     d = numbered(d.withColumn("__key", F.struct("session", "post_link")), "__key", "id", start)
     paths = F.transform(F.col("__i"), lambda x, i: F.concat(F.lit("images/"), post_image_name(F.col("id"), file_name(x), i + 1)))
     return d.select("id", F.col("__c").alias("text"), paths[0].alias("image_path"), F.when(F.size(paths) > 1, paths).alias("image_paths"), "post_link", "username", "keyword", "mode", "scraped_at")
