@@ -118,7 +118,7 @@ def label_model(vectors: np.ndarray, counts: np.ndarray, start: float = 0.1, rou
             flat = a.sum(1) / np.maximum(a.sum((1, 2)), 1e-9)[:, None]
             lean = np.array([[0.0, 2.0, 0.5], [0.0, 0.5, 2.0]]) if VOTERS else 0
             out.append((a + 5 * flat[:, None, :] + 0.05 * lean[:, None, :] + 0.01) / (a + 5 * flat[:, None, :] + 0.05 * lean[:, None, :] + 0.01).sum(2, keepdims=True))
-        return float((counts * p).sum() / total), out
+        return float((counts * p).sum() / max(total, 1e-9)), out
 
     def posterior(prior: float, t: list[np.ndarray]) -> np.ndarray:
         z = np.full(n, np.log(prior / (1 - prior)))
