@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import stored
+
 # Frequent function words of Vietnamese (with and without accents) and English.
 COMMON_WORDS = (
     "là và của có cho không người một đã với những các được trong này thì mà ở để từ cũng khi đến rồi ra vẫn nhưng như lại "
@@ -79,9 +81,10 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
         return F.aggregate(F.array_sort(arr), start, step, lambda s: s["most"])
 
-    coded = F.filter("__tokens", lambda x: (F.length(x) >= 16) & x.rlike("[a-z]") & x.rlike("[A-Z]") & x.rlike("[0-9]") & ~x.rlike(r"^(?:https?:|www\\.)|@"))
+    coded = F.length("__t") - F.length(F.regexp_replace("__t", r"(?<!\S)(?!https?:|www\.|@)(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[0-9])\S{16,}", ""))
     left = F.length(F.regexp_replace(F.regexp_replace("__t", _CONTROLS, ""), r"[^\p{L}\p{N}]+", ""))
-    odd = F.filter("__tokens", lambda x: x.rlike(r"[^\p{L}\p{N}\p{So}\s]") & x.rlike(r"\p{L}") & x.rlike(r"[\p{L}\p{N}][;|~`'¦_^<>=\\{}\[\]$%*#]+[\p{L}\p{N}]|^[;|~`¦_^<>=\\{}]|[;|~`¦_^<>=\\{}]$"))
+    times = lambda p: F.regexp_count("__t", F.lit(p))
+    odd = times(r"(?<!\S)(?=\S*\p{L})(?:[;|~`¦_^<>=\\{}]\S*|\S*?[\p{L}\p{N}][;|~`'¦_^<>=\\{}\[\]$%*#]+[\p{L}\p{N}]\S*|\S*[;|~`¦_^<>=\\{}])(?!\S)")
     return three.select(
         c(key),
         F.when(c("__t").isNotNull(), F.length("__t")).cast("bigint").alias("n_chars"),
@@ -98,13 +101,13 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         share(count("__lines", lambda x: x.rlike(_CELL) & (F.size(F.split(x, r"\t|\s*\|\s*|;|\s/\s|\s{3,}")) > 2)), nl).alias("cell_lines"),
         share(count("__lines", lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 7), nl).alias("short_lines"),
         share(count("__words", lambda x: x.isin(COMMON_WORDS)), n).alias("common_words"),
-        share(count("__tokens", lambda x: x.rlike(r"^[#@]\S")), nt).alias("tag_ratio"),
-        share(count("__tokens", lambda x: x.rlike(r"^(?:https?:|www\.)|\.(?:com|vn|net|example|test)\b")), nt).alias("link_ratio"),
+        share(times(r"(?<!\S)[#@]\S"), nt).alias("tag_ratio"),
+        share(times(r"(?<!\S)(?:(?:https?:|www\.)\S*|\S*?\.(?:com|vn|net|example|test)\b\S*)"), nt).alias("link_ratio"),
         share(F.size(alpha), n).alias("alpha_words"),
         share(count(alpha, lambda x: F.length(x) <= 1), F.size(alpha)).alias("single_letters"),
-        share(F.size(odd), nt).alias("odd_tokens"),
+        share(odd, nt).alias("odd_tokens"),
         F.when(n > 0, 1 - share(left, F.length(F.regexp_replace("__t", r"[^\p{L}\p{N}]+", "")))).otherwise(F.lit(0.0)).alias("control_ratio"),
-        share(F.aggregate(coded, F.lit(0), lambda a, x: a + F.length(x)), chars).alias("coded_ratio"),
+        share(coded, chars).alias("coded_ratio"),
         share(F.length("__t") - F.length(F.regexp_replace("__t", _BROKEN, "")), chars).alias("broken_ratio"),
         share(nl - F.size(F.array_distinct("__lines")), nl).alias("duplicate_lines"),
         share(F.size("__paras") - F.size(F.array_distinct("__paras")), F.size("__paras")).alias("duplicate_paragraphs"),
@@ -147,4 +150,5 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def not_prose(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key) of documents with a non-blank text that isn't prose."""
-    return judged(df, key, text).where("kind in ('junk', 'table', 'list')").select(key)
+    # written before the filter: pushed down, it would hold a copy of every statistic and evaluate each again
+    return stored(judged(df, key, text).select(key, "kind"), "kinds").where("kind in ('junk', 'table', 'list')").select(key)
