@@ -150,14 +150,13 @@ def entries(reps: DataFrame, counts: Counts, k: int, t: Fraction, keep: str = ""
 
 
 def in_cells(e: DataFrame, top: int, hot: int) -> DataFrame:
-    """Adds (lo, hi, block): the cell of a list that an entry is merged in. Lists of up to ``hot`` entries have one cell.
+    """Adds (lo, hi, block), where a list may be longer than ``hot``: the cell of the list that an entry is merged in. Shorter lists have one cell.
 
     A run is in no more texts than its rank says, so only entries of a higher
     rank are counted; if no rank is that high, none are.
     """
-    one = lambda x: x.withColumns({"lo": F.lit(0), "hi": F.lit(0), "block": F.lit(0)})
     if top <= hot:
-        return one(e)
+        return e  # no cells at all
     lists = e.where(F.col("rank") > hot).groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot)
     e = e.join(lists.select("sh", F.ceil(F.col("c") / hot).cast("int").alias("of")), "sh", "left").withColumn("of", F.coalesce("of", F.lit(1)))
     e = e.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
@@ -205,7 +204,9 @@ def merged(e: DataFrame, t: Fraction, one_sided: bool = False) -> DataFrame:
             found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)[i != j])
         return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
-    names = ["sh", "lo", "hi", "n", "id", "pos", "block"] + (["new"] if one_sided else [])
+    cells = ["lo", "hi", "block"] if "block" in e.columns else []
+    names = ["sh", "n", "id", "pos", *cells] + (["new"] if one_sided else [])
+    keys = ["sh", *cells[:2]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] | None = None
@@ -217,6 +218,7 @@ def merged(e: DataFrame, t: Fraction, one_sided: bool = False) -> DataFrame:
         for b in batches:
             x = {c: b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, c in enumerate(names)}
             raw = pa.concat_arrays([b.column(len(names))])
+            x |= {c: np.zeros(b.num_rows, np.int64) for c in ("lo", "hi", "block") if not cells}
             x["bits"] = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, 4)
             if kept is not None:
                 x = {c: np.concatenate([kept[c], x[c]]) for c in x}
@@ -228,7 +230,7 @@ def merged(e: DataFrame, t: Fraction, one_sided: bool = False) -> DataFrame:
         if kept is not None:
             yield out(kept)
 
-    s = e.repartition("sh", "lo", "hi").sortWithinPartitions("sh", "lo", "hi", "n").select(*names, "bits")
+    s = e.select(*names, "bits").repartition(*keys).sortWithinPartitions(*keys, "n")
     return s.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
