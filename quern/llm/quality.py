@@ -8,6 +8,8 @@ no Python. Null texts give null statistics and are not prose; blank texts have
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +40,13 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(key, text statistics). Shares are between 0 and 1, and 0 where there is nothing to share.
 
     Words are blank-free runs with a letter or digit, lines the non-blank ones.
-    top_word: the share of the most frequent word; repeated_bigrams: the share of
-    characters in word pairs that occur more than once; duplicate lines and
-    paragraphs: the share of lines (paragraphs) equal to an earlier one.
+    top_word: the share of the most frequent word; top coverage: the share of
+    characters that the most frequent run of 2, 3 or 4 words covers, if it occurs
+    twice; repeated_bigrams: the share of characters in word pairs that occur more
+    than once; repeated_runs: the share of runs of 5 words equal to an earlier
+    one; stretch_words: distinct_words counted anew every 400 words, so that it
+    doesn't fall with length; duplicate lines and paragraphs: the share of lines
+    (paragraphs) equal to an earlier one.
     """
     c = F.col
     t = F.regexp_replace(c("__t"), r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}\x{FE0F}]", "")
@@ -59,28 +65,37 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     digits = F.length(F.regexp_replace("__t", r"[^\p{N}]+", ""))
     pictures = F.length(F.regexp_replace("__t", r"[^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{200D}]+", ""))
     alpha = F.filter("__words", lambda x: x.rlike(r"\p{L}"))
-    pairs = F.when(n > 1, F.zip_with(F.slice("__words", 1, F.greatest(n - 1, F.lit(1))), F.slice("__words", 2, F.greatest(n - 1, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    run_chars = F.aggregate("__words", F.lit(0), lambda a, x: a + F.length(x) + 1)
+
+    def runs(k: int, of: Callable[[Column], Column], kind: str) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: of(F.slice("__words", i, k)))).otherwise(F.array().cast(f"array<{kind}>"))
 
     def longest_run(arr: Column) -> Column:
         """How much of a sorted array its most frequent value takes."""
         start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("most"))
         return F.aggregate(
-            F.array_sort(arr),
+            F.sort_array(arr),
             start,
             lambda s, x: F.struct(x.alias("v"), F.when(x.eqNullSafe(s["v"]), s["run"] + 1).otherwise(1).alias("run"), F.greatest(s["most"], F.when(x.eqNullSafe(s["v"]), s["run"] + 1).otherwise(1)).alias("most")),
             lambda s: s["most"],
         )
 
-    def dominant(arr: Column) -> Column:
-        """Characters (with blanks) that the most frequent value of an array covers, if it occurs twice."""
-        start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    def repeats(k: int) -> Column:
+        """Characters (with blanks) that the most frequent run of k words covers, and those in all runs, if they occur twice."""
+        start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("all"))
 
         def step(s: Column, x: Column) -> Column:
             run = F.when(x.eqNullSafe(s["v"]), s["run"] + 1).otherwise(1)
-            return F.struct(x.alias("v"), run.alias("run"), F.greatest(s["most"], F.when(run > 1, run * F.length(x)).otherwise(0)).alias("most"))
+            more = F.when(run > 2, F.length(x)).when(run == 2, 2 * F.length(x)).otherwise(0)
+            return F.struct(x.alias("v"), run.alias("run"), F.greatest(s["most"], F.when(run > 1, run * F.length(x)).otherwise(0)).alias("most"), (s["all"] + more).alias("all"))
 
-        return F.aggregate(F.array_sort(arr), start, step, lambda s: s["most"])
+        return F.aggregate(F.sort_array(runs(k, lambda w: F.array_join(w, " "), "string")), start, step, lambda s: F.struct(s["most"].alias("most"), s["all"].alias("all")))
 
+    longer = runs(5, F.xxhash64, "bigint")
+    stretches = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / 400).cast("int")), F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice("__words", i * 400 + 1, 400))))).otherwise(0)
+    three = three.withColumns({f"__top{k}": repeats(k) for k in (2, 3, 4)} | {"__longer": longer, "__run_chars": run_chars})
+    top = lambda k: F.least(F.lit(1.0), share(F.col(f"__top{k}.most"), F.col("__run_chars")))
+    pair_chars = F.col("__run_chars") * 2 - F.length(F.get("__words", F.lit(0))) - F.length(F.get("__words", n - 1)) - n - 1
     coded = F.length("__t") - F.length(F.regexp_replace("__t", r"(?<!\S)(?!https?:|www\.|@)(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[0-9])\S{16,}", ""))
     left = F.length(F.regexp_replace(F.regexp_replace("__t", _CONTROLS, ""), r"[^\p{L}\p{N}]+", ""))
     times = lambda p: F.regexp_count("__t", F.lit(p))
@@ -113,7 +128,12 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         share(F.size("__paras") - F.size(F.array_distinct("__paras")), F.size("__paras")).alias("duplicate_paragraphs"),
         share(F.size(F.array_distinct("__words")), n).alias("distinct_words"),
         share(longest_run(c("__words")), n).alias("top_word"),
-        F.least(F.lit(1.0), share(dominant(pairs), F.aggregate("__words", F.lit(0), lambda a, x: a + F.length(x) + 1))).alias("top_bigram_coverage"),
+        top(2).alias("top_bigram_coverage"),
+        top(3).alias("top_trigram_coverage"),
+        top(4).alias("top_fourgram_coverage"),
+        F.when(n > 1, share(F.col("__top2.all"), pair_chars)).otherwise(F.lit(0.0)).alias("repeated_bigrams"),
+        share(F.size("__longer") - F.size(F.array_distinct("__longer")), F.size("__longer")).alias("repeated_runs"),
+        share(stretches, n).alias("stretch_words"),
     )
 
 
@@ -135,9 +155,11 @@ def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         | (c("odd_tokens") > 0.15)
         | (c("coded_ratio") > 0.5)
         | (c("n_words") >= 8) & (c("control_ratio") > 0.7)
-        | (c("n_words") >= 8) & ((c("single_letters") > 0.3) | (c("top_word") > 0.35) | (c("distinct_words") < 0.2) & (c("n_words") < 400))
-        | (c("top_bigram_coverage") > 0.3)
-        | (c("n_lines") >= 4) & (c("duplicate_lines") > 0.5)
+        | (c("n_words") >= 8) & ((c("single_letters") > 0.3) | (c("top_word") > 0.35) | (c("stretch_words") < 0.2))
+        | (F.greatest("top_bigram_coverage", "top_trigram_coverage", "top_fourgram_coverage") > 0.3)
+        | (c("repeated_runs") > 0.5)
+        | (c("duplicate_lines") > 0.5)
+        | (c("duplicate_paragraphs") > 0.5)
         | (c("n_words") >= 8) & (c("common_words") < 0.02) & (c("mean_word_length") > 7)
     )
     table = (c("n_lines") >= 2) & (c("cell_lines") > 0.6)

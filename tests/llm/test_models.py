@@ -100,3 +100,20 @@ def test_quality(spark):
     assert [got[i] for i in range(4)] == ["prose"] * 4
     assert got[4] == "list" and got[5] == got[6] == "table" and all(got[i] == "junk" for i in range(7, 12))
     assert got[12] == got[13] == "blank" and got[14] is None and got[15] in ("prose", "junk")
+
+
+def test_quality_tells_repetition_at_any_length(spark):
+    phrase = "mua ngay kẻo lỡ cơ hội vàng này"
+    pool = [f"từ{i}" for i in range(1, 60)]
+    rng = random.Random(2)
+    long = " ".join(f"{rng.choice('bcdghklmnt')}{rng.choice(['anh', 'em', 'oi', 'uong', 'ay', 'on', 'iet'])}{rng.randrange(9)}" for _ in range(2000))
+    sentence = "Sáng nay trời mưa to nên mình ở nhà đọc sách với mẹ và nấu một nồi cháo."
+    texts = [
+        *((phrase + " ") * k for k in (5, 45, 60, 600)), " ".join(f"câu thứ {i} của cả đoạn dài là một hai ba bốn năm sáu bảy tám chín mười mốt".split()[j] for i in [7] * 60 for j in range(18)),
+        " ".join(rng.choice(pool) for _ in range(3000)), "\n\n".join([sentence] * 3), long, sentence, "a b a b c",
+    ]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert [got[i].kind for i in range(7)] == ["junk"] * 7
+    assert [got[i].kind for i in (7, 8)] == ["prose"] * 2
+    assert got[6].repeated_runs > 0.5 and got[8].repeated_bigrams == got[8].repeated_runs == 0
+    assert got[9].repeated_bigrams == 0.5 and got[9].n_words == 5  # of ab, ba, ab, bc
