@@ -88,3 +88,36 @@ def test_screening_in_order(spark):
         store.append(s.accepted())
     assert got == {i for i in want if i < 140}
     store.drop()
+
+
+def test_coverage_credits_accepted_rows_before(spark):
+    import re
+
+    p = [" ".join(f"p{i}w{j}" for j in range(9)) for i in range(8)]
+    history = [(1, f"{p[0]}. {p[1]}.")]
+    new = [
+        (1, 10, f"{p[0]}. {p[2]}. {p[3]}.", "s"), (1, 11, f"{p[3]}. {p[4]}. {p[5]}. {p[6]}", "s"), (2, 12, f"{p[4]}. {p[7]}. {p[7]}", "s"),
+        (2, 13, f"{p[0]}. {p[1]}. bản sao riêng", "s"), (3, 14, "bản sao riêng. câu khác hẳn", "s"), (None, 15, f"{p[6]}. đứng trước mọi lô", "s"), (3, 16, None, "s"),
+    ]
+    df = spark.createDataFrame(new, "batch_id int, id bigint, text string, source string")
+    store, s = batches.screened(spark, spark.createDataFrame(history, "id bigint, text string"), df, paragraphs=True, **OPTIONS)
+    rejected = {r.id for r in s.rejected.collect()}
+    assert rejected == {13}
+    parts = lambda t: [w for x in re.split(r"[.!?…:;]+(?=\s|$)|\n+", t or "") if (w := tuple(words(x)))]
+    known, want = {x for _, t in history for x in parts(t)}, {}
+    for b, i, t, _ in sorted(new, key=lambda r: (-1 if r[0] is None else r[0], r[1])):
+        if ps := parts(t):
+            want[i] = (b, sum(len(x) for x in ps if x in known) / sum(map(len, ps)))
+        if i not in rejected:
+            known |= set(ps)
+    assert {r.id: r.covered for r in batches.coverage(store, s).collect()} == pytest.approx({i: c for i, (_, c) in want.items()})
+    got = {r.batch_id: r.mean_covered for r in batches.report(store, s).collect()}
+    for b in (None, 1, 2, 3):
+        of = [c for x, c in want.values() if x == b]
+        assert got[b] == pytest.approx(sum(of) / len(of), abs=1e-6)
+    # what is known is appended once
+    store.append(s.accepted())
+    store.append(s.accepted())
+    ph = [r.ph for r in store.table("paragraph").collect()]
+    assert len(ph) == len(set(ph)) == len(known)
+    store.drop()
