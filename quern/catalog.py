@@ -84,6 +84,11 @@ def preprocess_with_near(s, d):
     return preprocess.stage_report(table(s, d, "samples"))
 
 
+@query()
+def preprocess_full(s, d):
+    return preprocess.kept(table(s, d, "samples"), listing=_listing(s, d))
+
+
 @query(f"SELECT id, coalesce({q_strip('text')} <> '' AND {q_strip('image_path')} <> '', false) AS is_kept FROM samples")
 def null_filter(s, d):
     m = preprocess.null_marked(table(s, d, "samples"))

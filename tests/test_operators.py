@@ -152,3 +152,42 @@ def test_three_way(spark, n):
     got = {r.text: r.missing for r in A.three_way(a, b, c).collect()}
     assert got == ({} if n == 0 else {"x": None, "y": "annotator_2", "z": "annotator_1"})
     assert list(itertools.chain(got)) is not None
+
+
+def test_preprocess_full_runs_all_stages(spark, tmp_path):
+    import hashlib
+
+    import __spark_entry__
+    from quern.catalog import QUERIES
+
+    base = [f"w{i}" for i in range(60)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [
+        (1, changed(), "a/1.jpg"), (2, changed(59), "a/2.jpg"), (3, changed().upper(), "a/3.jpg"), (4, "một bài khác hẳn", "a/4.jpg"), (5, "bài mất ảnh", "a/5.jpg"), (6, None, "a/6.jpg"),
+        (7, "không ảnh", " "), (8, changed(0, 30, 45), "a/8.jpg"), (9, changed(0, 59), "a/9.jpg"), (10, changed(1, 59), "a/10.jpg"), (11, "một bài  khác hẳn", "a/11.jpg"),
+    ]
+    spark.createDataFrame([(*r, "s") for r in rows], "id bigint, text string, image_path string, source string").write.parquet(f"{tmp_path}/samples.parquet")
+
+    def signature(t):
+        w = t.split()
+        g = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or {t}
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in g]
+        return [min(x ^ (i * 2654435761 & 0xFFFFFFFF) for x in h) for i in range(128)]
+
+    seen, kept, n_near = set(), [], 0
+    for i, t, path in rows:
+        if not t or not path.strip() or i % 5 == 0:
+            continue
+        n = " ".join(t.lower().split())
+        if n in seen:
+            continue
+        seen.add(n)
+        sig = signature(n)
+        if any(sum(x == y for x, y in zip(sig, k, strict=True)) / 128 >= 0.85 for _, k in kept):
+            n_near += 1
+        else:
+            kept.append((i, sig))
+    assert n_near and any(i == 4 for i, _ in kept)
+    got = QUERIES["preprocess_full"](spark, str(tmp_path)).collect()
+    assert sorted((r.old_id, r.id) for r in got) == [(i, k) for k, (i, _) in enumerate(kept, 1)]
+    assert "preprocess_full" not in __spark_entry__.oracle_sql() and "preprocess_full" in __spark_entry__.entry.__code__.co_consts
