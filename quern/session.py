@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset
-    (tests, a notebook in local mode) a folder of this machine is taken.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and
+    the master is local (tests, a notebook) a folder of this machine is taken;
+    on a cluster a missing setting raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "quern-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -47,6 +52,41 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Tables that only the block needs: ``with Scratch(spark) as s: s.stored(df)``; their files go when it ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame, name: str = "stage") -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of stages that have ended.
+
+    Executors keep them until the driver collects its garbage, which a driver
+    with a large heap puts off; between the phases of a long job they would add up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a scan of few files enough partitions for Python work.
 
