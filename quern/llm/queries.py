@@ -15,8 +15,8 @@ from quern.session import spread, stored, table
 SIMILAR = {"k": 3, "t": Fraction(1, 2), "least": 8}
 
 
-def _screened(s: SparkSession, d: str, **options):
-    return batches.screened(s, table(s, d, "samples"), table(s, d, "incoming_posts"), **SIMILAR, **options)
+def _batches(s: SparkSession, d: str, *result) -> DataFrame:
+    return batches.deduplicated(s, table(s, d, "samples"), table(s, d, "incoming_posts"), *result, **SIMILAR)
 
 
 def _consensus(s: SparkSession, d: str) -> consensus.Consensus:
@@ -32,12 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": lambda s, d: pii.found(table(s, d, "samples")),
     "p1_redacted": lambda s, d: pii.redacted(table(s, d, "samples").select("id", "text")).select("id", "redacted"),
     "p2_found": lambda s, d: simjoin.near_pairs(table(s, d, "samples"), **SIMILAR),
-    "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples")),
+    "p2_groups": lambda s, d: simjoin.near_groups(table(s, d, "samples"), **SIMILAR),
     "p3_found": lambda s, d: canon.look_alike_pairs(table(s, d, "samples")),
     "p3_forms": lambda s, d: canon.form_classes(table(s, d, "samples")),
-    "p4_found": lambda s, d: _screened(s, d)[1].rejected.select("id"),
-    "p4_accepted": lambda s, d: _screened(s, d)[1].accepted(),
-    "p4_report": lambda s, d: batches.report(*_screened(s, d, paragraphs=True)),
+    "p4_found": lambda s, d: _batches(s, d),
+    "p4_accepted": lambda s, d: _batches(s, d, lambda _, x: x.accepted()),
+    "p4_report": lambda s, d: _batches(s, d, batches.report),
     "p5_found": lambda s, d: abuse.flagged(abuse.scores(table(s, d, "samples"), table(s, d, "review_labels"))),
     "p5_scores": lambda s, d: abuse.scores(table(s, d, "samples"), table(s, d, "review_labels")),
     "p5_rates": lambda s, d: abuse.rates(abuse.scores(table(s, d, "samples"), table(s, d, "review_labels"))),

@@ -5,60 +5,62 @@ runs of ``k`` words have a Jaccard similarity of ``t`` or more, which means
 that they share at least T = ceil(t / (1 + t) * (|A| + |B|)) runs.
 
 The search is DivideSkip, spread over the cluster. All runs have one order,
-rarest first. The T - 1 longest inverted lists that a record takes part in are
-its *long* lists, the rest its *short* ones; a partner must occur in at least
-one common short list. Short lists are merged by Spark's external sort (a heap
-merge of sorted runs); an entry carries the record's size, the run's place in
-the record's order and a bitmap of the record's runs, which bound the overlap
-from above, so nearly all hopeless pairs fall in the merge. What is left is
-probed in the long lists by binary search in the records' sorted runs, and kept
-if the required overlap is reached. No step drops a pair that is similar.
+rarest first. For a pair the T - 1 - ``MORE`` most frequent runs of either
+record are its *long* lists, which aren't merged; the inverted lists of all
+others are *short*. Two records that share T runs share at least 1 + ``MORE`` of
+the short lists: short lists are merged (an equi-join on the run, by Spark's
+external sort) and the occurrences of each pair counted. What reaches that many
+is probed in the long lists by binary search in the records' sorted runs, and
+kept if the required overlap is reached. No step drops a pair that is similar.
 
 Equal texts are one class from the start: a copy adds no list entry. A list of
-more than ``HOT`` entries is split in blocks, whose pairs are merged apart.
+more than ``HOT`` entries is split in blocks, and each pair of blocks is merged
+apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.words import WordHash, counter, hash_batch, shingle_batch, texts_of, words
-from quern.session import cut, spread, stored
+from quern.llm.words import WordHash, counter, hash_batch, paragraphs, shingle_batch, texts_of
+from quern.session import cut, release, spread, stored
 
 WORDS, RUNS = 1 << 16, 1 << 20
+#: How many occurrences in short lists are asked for beyond the first.
+MORE = 2
 HOT = 20_000
+#: A text with more copies than this is expanded to pairs in blocks.
+COPIES = 2_000
 _LONG, _INT, _BIN = pa.int64(), pa.int32(), pa.binary()
 
 
-def word_table(df: DataFrame, least: int, keep: str = "") -> DataFrame:
-    """(id, extra column ``keep``, h, words) of ``df``(id, text, keep): h tells word sequences apart.
+def word_table(df: DataFrame, keep: str = "") -> DataFrame:
+    """(id, h, nw, words, extra column ``keep``) of ``df``(id, text, keep), for texts with a word.
 
-    Texts of fewer than ``least`` words, null texts and null ids have no row.
+    words: those of a paragraph parted by blanks, paragraphs by line ends; h
+    tells word sequences apart, however they are split in paragraphs; nw is
+    their number. Null texts and null ids have no row.
     """
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [words(x) for x in b.column(1).to_pylist()]
-            ok = np.array([len(x) >= least for x in lists], bool)
-            joined = [" ".join(x) for x in lists if len(x) >= least]
-            cols = [b.column(0).filter(pa.array(ok)), pa.array([xxhash.xxh3_128_digest(x) for x in joined], _BIN), pa.array(joined, pa.string())]
-            names = ["id", "h", "words"]
-            if keep:
-                cols.append(b.column(2).filter(pa.array(ok)))
-                names.append(keep)
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            texts = ["\n".join(paragraphs(x)) for x in b.column(1).to_pylist()]
+            flat = [x.replace("\n", " ") for x in texts]
+            some = pa.array([bool(x) for x in texts])
+            cols = [b.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in flat], _BIN), pa.array([x.count(" ") + 1 for x in flat], _INT), pa.array(texts, pa.string()), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays([c.filter(some) for c in cols], names=["id", "h", "nw", "words", *extra])
 
+    extra = [keep] if keep else []
     kind = dict(df.dtypes)
-    schema = f"id bigint, h binary, words string{f', {keep} {kind[keep]}' if keep else ''}"
-    return df.where("id is not null and text is not null").select("id", "text", *([keep] if keep else [])).mapInArrow(run, schema)
+    schema = f"id bigint, h binary, nw int, words string{f', {keep} {kind[keep]}' if keep else ''}"
+    return df.where("id is not null and text is not null").select("id", "text", *extra).mapInArrow(run, schema)
 
 
 Counts = tuple[np.ndarray, np.ndarray]
@@ -109,9 +111,13 @@ def needed(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-(na + nb) * up) // down)
 
 
-def entries(reps: DataFrame, counts: Counts, k: int, t: Fraction, keep: str = "") -> DataFrame:
-    """Entries of the short lists: (sh, id, n, pos, rank, bits[, keep])."""
-    rank = reps.sparkSession.sparkContext.broadcast(counts)
+def entries(reps: DataFrame, counts: Counts, k: int, t: Fraction, more: int = MORE) -> DataFrame:
+    """Entries (sh, id, n, pos) of ``reps``(id, words): n runs in all, of which the run sh has place pos.
+
+    A record is in as many lists as may be short in any pair: with the smallest
+    partner it can have, T is the least, t * n.
+    """
+    shared = reps.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -119,149 +125,94 @@ def entries(reps: DataFrame, counts: Counts, k: int, t: Fraction, keep: str = ""
             for start in range(0, whole.num_rows, 2000):
                 b = whole.slice(start, 2000)
                 h, off = hash_batch(texts_of(b, 1), memo)
-                doc, sh, r = shingle_batch(h, off, k, rank.value)
+                doc, sh, _ = shingle_batch(h, off, k, shared.value)
                 n = np.bincount(doc, minlength=b.num_rows)
-                first = np.concatenate([[0], np.cumsum(n)[:-1]])
-                pos = np.arange(len(doc)) - first[doc]
-                bits = np.zeros((b.num_rows, 256), np.uint8)
-                bits[doc, (sh >> np.uint64(40)) & np.uint64(255)] = 1
-                packed = np.packbits(bits, axis=1)
-                # the least overlap with any partner: t * n, as |A or B| >= n
-                short = pos <= n[doc] - np.ceil(float(t) * n[doc] - 1e-9).astype(np.int64)
+                pos = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+                least = -((-n * t.numerator) // t.denominator)
+                short = pos < (n - least + np.minimum(1 + more, least))[doc]
                 d = doc[short]
-                raw = packed[d].tobytes()
-                cols = [
-                    pa.array(sh[short].view(np.int64), _LONG),
-                    b.column(0).take(pa.array(d)),
-                    pa.array(n[d].astype(np.int32), _INT),
-                    pa.array(pos[short].astype(np.int32), _INT),
-                    pa.array(r[short], _LONG),
-                    pa.Array.from_buffers(_BIN, len(d), [None, pa.py_buffer((np.arange(len(d) + 1) * 32).astype(np.int32)), pa.py_buffer(raw)]),
-                ]
-                names = ["sh", "id", "n", "pos", "rank", "bits"]
-                if keep:
-                    cols.append(b.column(2).take(pa.array(d)))
-                    names.append(keep)
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    kind = dict(reps.dtypes)
-    extra = f", {keep} {kind[keep]}" if keep else ""
-    return reps.select("id", "words", *([keep] if keep else [])).mapInArrow(run, f"sh bigint, id bigint, n int, pos int, rank bigint, bits binary{extra}")
-
-
-def in_cells(e: DataFrame, top: int, hot: int) -> DataFrame:
-    """Adds (lo, hi, block), where a list may be longer than ``hot``: the cell of the list that an entry is merged in. Shorter lists have one cell.
-
-    A run is in no more texts than its rank says, so only entries of a higher
-    rank are counted; if no rank is that high, none are.
-    """
-    if top <= hot:
-        return e  # no cells at all
-    lists = e.where(F.col("rank") > hot).groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot)
-    e = e.join(lists.select("sh", F.ceil(F.col("c") / hot).cast("int").alias("of")), "sh", "left").withColumn("of", F.coalesce("of", F.lit(1)))
-    e = e.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-    other: Column = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-    return e.select("*", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "of")
+                cols = [pa.array(sh[short].view(np.int64), _LONG), b.column(0).take(pa.array(d)), pa.array(n[d].astype(np.int32), _INT), pa.array(pos[short].astype(np.int32), _INT)]
+                yield pa.RecordBatch.from_arrays(cols, names=["sh", "id", "n", "pos"])
+
+    return reps.select("id", "words").mapInArrow(run, "sh bigint, id bigint, n int, pos int")
+
+
+def long_lists(e: DataFrame, hot: int) -> DataFrame:
+    """(sh, of): the lists of more than ``hot`` entries and the number of their blocks. Counted before the shuffle in part."""
+    return e.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("sh", F.ceil(F.col("c") / hot).cast("int").alias("of"))
+
+
+def _met(left: DataFrame, right: DataFrame, on: list[str], t: Fraction, more: int, ordered: bool) -> DataFrame:
+    """(a, b, need) for each occurrence of a pair in a short list of both."""
+    x = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    y = right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    up, down = t.numerator, t.numerator + t.denominator
+    need = F.expr(f"int(((na + nb) * {up}L + {down - 1}) div {down})")
+    both = x.join(y, on)
+    if ordered:
+        both = both.where("a < b")
+    need_is = both.withColumn("need", need)
+    short = F.least(F.lit(1 + more), F.col("need")) - F.col("need")
+    ok = (F.col("need") <= F.least("na", "nb")) & (F.col("pa") < F.col("na") + short) & (F.col("pb") < F.col("nb") + short)
+    return need_is.where(ok).select("a", "b", "need")
 
 
-def merged(e: DataFrame, t: Fraction, one_sided: bool = False) -> DataFrame:
-    """Pairs (a, b) that share a short list and that size, place and bitmap don't rule out.
+def merged(left: DataFrame, right: DataFrame, t: Fraction, more: int = MORE, ordered: bool = True, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pairs (a, b) with enough occurrences in short lists; ``ordered``: both sides are one table, a < b.
 
-    one_sided: the entries' column ``new`` tells new records from known ones;
-    two known ones make no pair.
+    lists: the ``long_lists`` of both sides, where there are any. Their entries
+    are merged by pairs of blocks, the others as they are.
     """
+    if lists is None:
+        met = _met(left, right, ["sh"], t, more, ordered)
+    else:
+        of_l, of_r = lists
+        any_hot = of_l.select("sh").unionAll(of_r.select("sh")).distinct()
 
-    def pairs(x: dict[str, np.ndarray]) -> np.ndarray:
-        m = len(x["sh"])
-        change = np.ones(m, bool)
-        change[1:] = (x["sh"][1:] != x["sh"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])
-        ends = np.append(np.flatnonzero(change)[1:], m)
-        run = np.cumsum(change) - 1
-        # A list goes by size: the partners of an entry, from its own place on,
-        # end with the largest size at which its place still leaves enough runs.
-        up, down = t.numerator, t.numerator + t.denominator
-        most = np.maximum((down * (x["n"] - x["pos"])) // up - x["n"], -1)
-        wide = int(x["n"].max()) + 2
-        stop = np.searchsorted(run * wide + x["n"], run * wide + np.minimum(most, wide - 2), "right")
-        each = np.maximum(np.minimum(stop, ends[run]) - np.arange(m) - 1, 0)
-        upto, found, start = np.cumsum(each), [], 0
-        while start < m:
-            stop_at = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + 500_000, "right")))
-            part = each[start:stop_at]
-            i = np.repeat(np.arange(start, stop_at), part)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
-            start = stop_at
-            na, nb = x["n"][i], x["n"][j]
-            need = needed(na, nb, t)
-            ok = (x["pos"][i] <= na - need) & (x["pos"][j] <= nb - need)
-            if one_sided:
-                ok &= (x["new"][i] + x["new"][j]) > 0
-            i, j, slack = i[ok], j[ok], (na + nb - 2 * need)[ok]
-            ok = np.bitwise_count(x["bits"][i] ^ x["bits"][j]).sum(axis=1, dtype=np.int64) <= slack
-            i, j = i[ok], j[ok]
-            ok = (np.minimum(x["block"][i], x["block"][j]) == x["lo"][i]) & (np.maximum(x["block"][i], x["block"][j]) == x["hi"][i])
-            i, j = x["id"][i[ok]], x["id"][j[ok]]
-            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1)[i != j])
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-
-    cells = ["lo", "hi", "block"] if "block" in e.columns else []
-    names = ["sh", "n", "id", "pos", *cells] + (["new"] if one_sided else [])
-    keys = ["sh", *cells[:2]]
+        def cells(e: DataFrame, own: str, own_lists: DataFrame, other: str, other_lists: DataFrame) -> DataFrame:
+            e = e.join(any_hot, "sh", "left_semi").join(own_lists.withColumnRenamed("of", "o1"), "sh", "left").join(other_lists.withColumnRenamed("of", "o2"), "sh", "left")
+            e = e.withColumn(own, F.pmod(F.xxhash64("id"), F.coalesce("o1", F.lit(1))).cast("int"))
+            return e.select("sh", "id", "n", "pos", own, F.explode(F.sequence(F.lit(0), F.coalesce("o2", F.lit(1)) - 1)).alias(other))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, np.ndarray] | None = None
+        plain = _met(left.join(any_hot, "sh", "left_anti"), right.join(any_hot, "sh", "left_anti"), ["sh"], t, more, ordered)
+        hot = _met(cells(left, "i", of_l, "j", of_r), cells(right, "j", of_r, "i", of_l), ["sh", "i", "j"], t, more, ordered)
+        met = plain.unionAll(hot)
+    enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.least(F.lit(1 + more), F.col("need")))
+    return enough.select("a", "b")
 
-        def out(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-            p = pairs(x)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0], _LONG), pa.array(p[:, 1], _LONG)], names=["a", "b"])
 
-        for b in batches:
-            x = {c: b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i, c in enumerate(names)}
-            raw = pa.concat_arrays([b.column(len(names))])
-            x |= {c: np.zeros(b.num_rows, np.int64) for c in ("lo", "hi", "block") if not cells}
-            x["bits"] = np.frombuffer(b"".join(raw.to_pylist()), np.uint64).reshape(-1, 4)
-            if kept is not None:
-                x = {c: np.concatenate([kept[c], x[c]]) for c in x}
-            last = (x["sh"] == x["sh"][-1]) & (x["lo"] == x["lo"][-1]) & (x["hi"] == x["hi"][-1])
-            cutoff = int(np.argmax(last))  # sorted: the last list starts here and may go on
-            if cutoff:
-                yield out({c: v[:cutoff] for c, v in x.items()})
-            kept = {c: v[cutoff:] for c, v in x.items()}
-        if kept is not None:
-            yield out(kept)
-
-    s = e.select(*names, "bits").repartition(*keys).sortWithinPartitions(*keys, "n")
-    return s.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def probed(pairs: DataFrame, reps: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Those of ``pairs`` that reach the required overlap: (a, b, shared, n_a, n_b)."""
+def checked(pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Those of ``pairs``(a, b, wa, wb: the words of both) that reach the required overlap: (a, b, shared, n_a, n_b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
-        for b in batches:
-            out, m = [], b.num_rows
-            h, off = hash_batch(texts_of(b, 2) + texts_of(b, 3), memo)
-            doc, sh, _ = shingle_batch(h, off, k)
-            lo, hi = np.searchsorted(doc, np.arange(2 * m)), np.searchsorted(doc, np.arange(2 * m), "right")
-            for i in range(m):
-                x, y = sh[lo[i] : hi[i]], sh[lo[m + i] : hi[m + i]]
-                if len(x) > len(y):
-                    probe, into = y, x
-                else:
-                    probe, into = x, y
-                at = np.minimum(np.searchsorted(into, probe), len(into) - 1)  # the binary probes
-                shared = int((into[at] == probe).sum())
-                if shared >= int(needed(np.int64(len(x)), np.int64(len(y)), t)):
-                    out.append((i, shared, len(x), len(y)))
-            o = np.array(out, np.int64).reshape(-1, 4)
-            take = pa.array(o[:, 0])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(o[:, c].astype(np.int32), _INT) for c in (1, 2, 3))], names=["a", "b", "shared", "n_a", "n_b"])
-
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                b = whole.slice(start, 2000)
+                out, m = [], b.num_rows
+                h, off = hash_batch(texts_of(b, 2) + texts_of(b, 3), memo)
+                doc, sh, _ = shingle_batch(h, off, k)
+                lo, hi = np.searchsorted(doc, np.arange(2 * m)), np.searchsorted(doc, np.arange(2 * m), "right")
+                for i in range(m):
+                    x, y = sh[lo[i] : hi[i]], sh[lo[m + i] : hi[m + i]]
+                    probe, into = (y, x) if len(x) > len(y) else (x, y)
+                    at = np.minimum(np.searchsorted(into, probe), len(into) - 1)  # the binary probes
+                    shared = int((into[at] == probe).sum())
+                    if shared >= int(needed(np.int64(len(x)), np.int64(len(y)), t)):
+                        out.append((i, shared, len(x), len(y)))
+                o = np.array(out, np.int64).reshape(-1, 4)
+                take = pa.array(o[:, 0])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(o[:, c].astype(np.int32), _INT) for c in (1, 2, 3))], names=["a", "b", "shared", "n_a", "n_b"])
+
+    return pairs.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, shared int, n_a int, n_b int")
+
+
+def probed(pairs: DataFrame, texts: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """``checked`` for pairs (a, b) of one table ``texts``(id, words)."""
     # one join for both ends, then the ends of a pair meet: no text moves that is in no pair
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
-    text = ends.join(reps.select("id", "words"), "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("words"))).alias("wa"), F.max(F.when(F.col("id") == F.col("b"), F.col("words"))).alias("wb"))
-    return text.select("a", "b", "wa", "wb").mapInArrow(run, "a bigint, b bigint, shared int, n_a int, n_b int")
+    end = lambda x: F.max(F.when(F.col("id") == F.col(x), F.col("words"))).alias(f"w{x}")
+    return checked(ends.join(texts.select("id", "words"), "id").groupBy("a", "b").agg(end("a"), end("b")), k, t)
 
 
 class Near:
@@ -271,34 +222,60 @@ class Near:
         self.members, self.reps, self.pairs = members, reps, pairs
 
 
-def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", k: int = 5, t: Fraction | float = Fraction(4, 5), least: int | None = None, hot: int = HOT) -> Near:
+def near_duplicates(df: DataFrame, key: str = "id", text: str = "text", k: int = 5, t: Fraction | float = Fraction(4, 5), least: int | None = None, hot: int = HOT, more: int = MORE) -> Near:
     """Similar pairs of ``df``; ids should be unique (repeated rows of one id count once per text).
 
-    members(id, rep), reps(id, words), pairs(a, b, shared, n_a, n_b) with a < b,
-    all complete. Null ids, null texts and texts of fewer than ``least`` words
-    (``k`` at least) are similar to none.
+    members(id, rep, nw) of all texts with a word, reps(id, words) and pairs(a,
+    b, shared, n_a, n_b) with a < b, all complete. Null ids, null texts and
+    texts of fewer than ``least`` words (``k`` at least) are similar to none.
     """
     t = Fraction(t).limit_denominator(1000)
     least = max(k, least or k)
+    spark = df.sparkSession
     src = spread(df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")))
-    w = stored(word_table(src, least), "words")
-    reps = stored(w.groupBy("h").agg(F.min("id").alias("id"), F.first("words").alias("words")), "reps")
-    members = w.join(reps.select("h", F.col("id").alias("rep")), "h").select("id", "rep")
+    w = stored(word_table(src), "words")
+    first = w.groupBy("h").agg(F.min("id").alias("rep"))
+    members = stored(w.select("id", "h", "nw").join(first, "h").select("id", "rep", "nw"), "members")
+    reps = stored(w.where(F.col("nw") >= least).groupBy("h").agg(F.min("id").alias("id"), F.first("words").alias("words")).select("id", "words"), "reps")
+    release(spark)
     counts = run_counts(reps, k)
-    e = entries(reps, counts, k, t)
-    pairs = merged(in_cells(e, top_count(counts), hot), t)
-    return Near(members, reps.select("id", "words"), stored(probed(pairs, reps, k, t), "pairs"))
-
-
-def near_pairs(df: DataFrame, **options) -> DataFrame:
+    e = entries(reps, counts, k, t, more)
+    lists = None
+    if top_count(counts) > hot:  # else no list can be that long: the counts are of this table
+        e = stored(e, "entries")
+        lists = stored(long_lists(e, hot), "lists")
+        lists = None if lists.isEmpty() else (lists, lists)
+    met = stored(merged(e, e, t, more, lists=lists), "met")
+    release(spark)
+    return Near(members, reps, stored(probed(met, reps, k, t), "pairs"))
+
+
+def _blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (rep, id, block) and, of classes of more than one block, (rep, of)."""
+    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > COPIES).select("rep", F.ceil(F.col("c") / COPIES).cast("int").alias("of"))
+    m = members.join(size, "rep", "left").select("rep", "id", F.pmod(F.xxhash64("id"), F.coalesce("of", F.lit(1))).cast("int").alias("block"))
+    return m, size
+
+
+def expanded(pairs: DataFrame, members: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(x, y): the members of both classes of each pair, of a class with itself x < y; a class of many copies is taken in blocks, each apart."""
+    m, size = _blocks(members)
+    out = pairs.select(a, b)
+    for end, to in ((a, "x"), (b, "y")):
+        out = out.join(size.withColumnRenamed("rep", end), end, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("of", F.lit(1)) - 1))).drop("of")
+        out = out.join(m.select(F.col("rep").alias(end), "block", F.col("id").alias(to)), [end, "block"]).drop("block")
+    return out.where((F.col(a) != F.col(b)) | (F.col("x") < F.col("y"))).select("x", "y")
+
+
+def near_pairs(df: DataFrame, least: int | None = None, **options) -> DataFrame:
     """All similar pairs of records (id_a < id_b), copies expanded."""
-    near = near_duplicates(df, **options)
-    m = stored(near.members.distinct(), "members")
-    x, y = m.select(F.col("rep").alias("a"), F.col("id").alias("x")), m.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    between = near.pairs.select("a", "b").join(x, "a").join(y, "b")
-    several = m.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("rep").alias("a"))
-    within = several.join(x, "a").join(y.withColumnRenamed("b", "a"), "a").where("x < y")
-    out = between.select("x", "y").unionAll(within.select("x", "y")).where("x <> y")
+    near = near_duplicates(df, least=least, **options)
+    least = max(options.get("k", 5), least or 0)
+    m = near.members.where(F.col("nw") >= least).select("id", "rep").distinct()
+    several = m.groupBy("rep").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    m = m.join(several.select("rep").unionAll(near.pairs.select("a")).unionAll(near.pairs.select("b")).distinct(), "rep", "left_semi")
+    own = several.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    out = expanded(near.pairs.select("a", "b").unionAll(own), stored(m, "in-pairs")).where("x <> y")
     return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
@@ -323,19 +300,22 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(low, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
-def near_groups(df: DataFrame, key: str = "id", text: str = "text", **options) -> DataFrame:
+def near_groups(df: DataFrame, key: str = "id", text: str = "text", least: int | None = None, **options) -> DataFrame:
     """One row per record: (id, class_id, group_id, links).
 
-    class_id: the smallest id with the same words; group_id: the smallest id
-    that links lead to; links: the number of other records similar to this
-    one. Records that are similar to none have their own id and 0.
+    class_id: the smallest id with the same words, however few; group_id: the
+    smallest id that links lead to; links: the number of other records similar
+    to this one. Records that are similar to none have their own id and 0.
     """
-    near = near_duplicates(df, key, text, **options)
+    near = near_duplicates(df, key, text, least=least, **options)
+    least = max(options.get("k", 5), least or 0)
     m = near.members.distinct()
-    size = m.groupBy("rep").agg(F.count(F.lit(1)).alias("c"))
-    groups = components(near.pairs, near.reps.select("id")).withColumnRenamed("id", "rep")
+    size = m.groupBy("rep").agg(F.count(F.lit(1)).alias("c"), F.max("nw").alias("nw"))
     ends = near.pairs.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionAll(near.pairs.select(F.col("b").alias("rep"), F.col("a").alias("o")))
-    linked = ends.join(size.withColumnRenamed("rep", "o"), "o").groupBy("rep").agg(F.sum("c").alias("l"))
-    per = size.join(linked, "rep", "left").join(groups, "rep").select("rep", "group_id", (F.coalesce("l", F.lit(0)) + F.col("c") - 1).alias("links"))
+    linked = ends.join(size.select(F.col("rep").alias("o"), "c"), "o").groupBy("rep").agg(F.sum("c").alias("l"))
+    groups = components(near.pairs, ends.select(F.col("rep").alias("id")).distinct()).withColumnRenamed("id", "rep")
+    copies: Column = F.when(F.col("nw") >= least, F.col("c") - 1).otherwise(0)
+    group = F.when(F.col("nw") >= least, F.coalesce("group_id", "rep"))
+    per = size.join(linked, "rep", "left").join(groups, "rep", "left").select("rep", group.alias("group_id"), (F.coalesce("l", F.lit(0)) + copies).alias("links"))
     ids = df.select(F.col(key).cast("bigint").alias("id")).where("id is not null").distinct()
     return ids.join(m.join(per, "rep"), "id", "left").select("id", F.coalesce("rep", "id").alias("class_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -11,6 +11,8 @@ import xxhash
 from quern.llm.canon import canonical
 
 _WORD = re.compile(r"[^\W_]+")
+#: Where one paragraph (sentence or line) ends.
+_SENTENCE = re.compile(r"[.!?…:;]+(?=\s|$)|\n+")
 MEMO = 500_000
 
 
@@ -19,6 +21,11 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(canonical(text).lower()) if text else []
 
 
+def paragraphs(text: str | None) -> list[str]:
+    """The words of each paragraph that has any, parted by blanks."""
+    return [" ".join(w) for part in _SENTENCE.split(canonical(text).lower()) if (w := _WORD.findall(part))] if text else []
+
+
 class WordHash(dict):
     """64-bit hashes of words, kept for the words seen most recently."""
 
@@ -30,8 +37,8 @@ class WordHash(dict):
 
 
 def hash_batch(texts: list[str], memo: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` (words parted by blanks) and the texts' offsets."""
-    split = [t.split(" ") if t else [] for t in texts]
+    """Hashes of all words of ``texts`` (words parted by white space) and the texts' offsets."""
+    split = [t.split() for t in texts]
     off = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(x) for x in split], out=off[1:])
     get = memo.__getitem__
@@ -67,12 +74,17 @@ def shingle_batch(h: np.ndarray, off: np.ndarray, k: int, rank: tuple[np.ndarray
         for i in range(1, k):
             low = np.minimum(low, c[i : i + n])
         r = np.minimum(low[keep], rank[1][counter(run, len(rank[1]))]).astype(np.int64)
-    # one key to sort by: text, rank (exact while small, then by its logarithm), hash
+    # One key to sort by: text, rank (exact while small, then by its logarithm) and
+    # the upper bits of the hash; where these don't tell two runs apart, all bits.
+    level = np.minimum(np.where(r < 1024, r, 1024 + (32 * np.log2(np.maximum(r, 1) / 1024)).astype(np.int64)), 2047)
+    o = None
     if len(off) <= 1 << 13:
-        level = np.where(r < 1024, r, 1024 + (32 * np.log2(np.maximum(r, 1) / 1024)).astype(np.int64))
-        o = np.argsort((doc.astype(np.uint64) << np.uint64(51)) | (np.minimum(level, 2047).astype(np.uint64) << np.uint64(40)) | (run >> np.uint64(24)))
-    else:
-        o = np.lexsort((run, r, doc))
+        key = (doc.astype(np.uint64) << np.uint64(51)) | (level.astype(np.uint64) << np.uint64(40)) | (run >> np.uint64(24))
+        o = np.argsort(key)
+        if ((key[o[1:]] == key[o[:-1]]) & (run[o[1:]] != run[o[:-1]])).any():
+            o = None
+    if o is None:
+        o = np.lexsort((run, level, doc))
     doc, run, r = doc[o], run[o], r[o]
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])

@@ -74,12 +74,12 @@ def test_screening_in_order(spark):
             want.add(i)
         elif g:
             accepted.append(g)
-    store, s = batches.screened(spark, history, df, paragraphs=True, **OPTIONS)
+    store, s = batches.screened(spark, history, df, **OPTIONS)
     assert {r.id for r in s.rejected.collect()} == want
     assert s.accepted().count() == len(new) - len(want)
     assert sum(r.n_rows for r in batches.report(store, s).collect()) == len(new)
     # the same batches one after another, each appended before the next
-    store = batches.HashStore(spark, 3, Fraction(1, 2), 8, 4)
+    store = batches.HashStore(spark, k=3, t=Fraction(1, 2), least=8, buckets=4)
     store.append(history)
     got = set()
     for b in range(1, 3):
@@ -100,7 +100,7 @@ def test_coverage_credits_accepted_rows_before(spark):
         (2, 13, f"{p[0]}. {p[1]}. bản sao riêng", "s"), (3, 14, "bản sao riêng. câu khác hẳn", "s"), (None, 15, f"{p[6]}. đứng trước mọi lô", "s"), (3, 16, None, "s"),
     ]
     df = spark.createDataFrame(new, "batch_id int, id bigint, text string, source string")
-    store, s = batches.screened(spark, spark.createDataFrame(history, "id bigint, text string"), df, paragraphs=True, **OPTIONS)
+    store, s = batches.screened(spark, spark.createDataFrame(history, "id bigint, text string"), df, **OPTIONS)
     rejected = {r.id for r in s.rejected.collect()}
     assert rejected == {13}
     parts = lambda t: [w for x in re.split(r"[.!?…:;]+(?=\s|$)|\n+", t or "") if (w := tuple(words(x)))]
@@ -121,3 +121,71 @@ def test_coverage_credits_accepted_rows_before(spark):
     ph = [r.ph for r in store.table("paragraph").collect()]
     assert len(ph) == len(set(ph)) == len(known)
     store.drop()
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_a_store_opens_again_and_grows(spark, tmp_path, hot):
+    """Each batch by a store object of its own; lists that only appends make long are split."""
+    texts = corpus(11, 90)
+    df = spark.createDataFrame([(i // 32, 100 + i, t, "s") for i, t in enumerate(texts)], "batch_id int, id bigint, text string, source string")
+    accepted, want = [], set()
+    for i, t in enumerate(texts):
+        g = grams(t)
+        if any(similar(g, x) for x in accepted):
+            want.add(100 + i)
+        elif g:
+            accepted.append(g)
+    path, got = f"file://{tmp_path}/store", set()
+    for b in range(3):
+        out = batches.deduplicated(spark, df.limit(0), df.where(f"batch_id = {b}"), path=path, hot=hot, **OPTIONS)
+        got |= {r.id for r in out.collect()}
+    assert got == want
+    store = batches.HashStore(spark, path)
+    assert (store.k, store.t, store.least) == (3, Fraction(1, 2), 8)
+    assert store.table("content").count() == store.table("text").count() == len(accepted)
+    assert max(r["count"] for r in store.table("run").groupBy("sh").count().collect()) > 2
+    store.drop()
+
+
+def test_a_second_process_appends(spark, tmp_path):
+    import subprocess
+    import sys
+
+    base = [" ".join(f"{c}{i}" for i in range(12)) for c in "abc"]
+    path = f"file://{tmp_path}/store"
+    batches.deduplicated(spark, spark.createDataFrame([(1, base[0])], "id bigint, text string"), spark.createDataFrame([(1, 5, base[1], "s")], "batch_id int, id bigint, text string, source string"), path=path, **OPTIONS)
+    code = f"""
+from pyspark.sql import SparkSession
+from quern.llm import batches
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp_path}/other").config("spark.sql.warehouse.dir", "{tmp_path}/wh").getOrCreate()
+rows = [(2, 6, {base[0] + " x"!r}, "s"), (2, 7, {base[1] + " y"!r}, "s"), (2, 8, {base[2]!r}, "s")]
+out = batches.deduplicated(s, None, s.createDataFrame(rows, "batch_id int, id bigint, text string, source string"), path="{path}")
+print("FOUND", sorted(r.id for r in out.collect()))
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=batches.__file__.rsplit("/quern/", 1)[0])
+    assert "FOUND [6, 7]" in said.stdout, said.stderr[-2000:]
+    store = batches.HashStore(spark, path)
+    assert sorted(r.id for r in store.table("content").collect()) == [1, 5, 8]
+    store.drop()
+
+
+def test_registered_groups_hold_the_registered_pairs(spark, tmp_path):
+    from quern.llm.queries import QUERIES
+
+    texts = [*corpus(21, 80), "ngắn thôi", "Ngắn thôi"]
+    spark.createDataFrame([(i, t, "p", "s") for i, t in enumerate(texts)], "id bigint, text string, image_path string, source string").write.parquet(f"{tmp_path}/samples.parquet")
+    pairs = {(r.id_a, r.id_b) for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()}
+    rows = {r.id: r for r in QUERIES["p2_groups"](spark, str(tmp_path)).collect()}
+    assert pairs and all(rows[a].group_id == rows[b].group_id for a, b in pairs)
+    assert sum(r.links for r in rows.values()) == 2 * len(pairs)
+    n = len(texts)
+    assert rows[n - 1].class_id == n - 2 and rows[n - 1].links == 0
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "COPIES", 3)
+    t = " ".join(f"w{i}" for i in range(20))
+    texts = [t] * 10 + [t + " x"] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    rows = [(r.id_a, r.id_b) for r in simjoin.near_pairs(df, **OPTIONS).collect()]
+    assert len(rows) == len(set(rows)) == 14 * 13 // 2
