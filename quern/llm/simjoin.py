@@ -142,29 +142,29 @@ def long_lists(e: DataFrame, hot: int) -> DataFrame:
     return e.groupBy("sh").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("sh", F.ceil(F.col("c") / hot).cast("int").alias("of"))
 
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], t: Fraction, more: int, ordered: bool) -> DataFrame:
-    """(a, b, need) for each occurrence of a pair in a short list of both."""
-    x = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    y = right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+def _met(left: DataFrame, right: DataFrame, on: list[str], t: Fraction, more: int, turns: bool) -> DataFrame:
+    """(a, b, need[, same]) for each occurrence of a pair in a short list of both."""
+    extra = lambda c: [F.col("turn").alias(c)] if turns else []
+    x = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *extra("ta"))
+    y = right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *extra("tb"))
     up, down = t.numerator, t.numerator + t.denominator
-    need = F.expr(f"int(((na + nb) * {up}L + {down - 1}) div {down})")
-    both = x.join(y, on)
-    if ordered:
-        both = both.where("a < b")
-    need_is = both.withColumn("need", need)
-    short = F.least(F.lit(1 + more), F.col("need")) - F.col("need")
-    ok = (F.col("need") <= F.least("na", "nb")) & (F.col("pa") < F.col("na") + short) & (F.col("pb") < F.col("nb") + short)
-    return need_is.where(ok).select("a", "b", "need")
+    need = f"int(((na + nb) * {up}L + {down - 1}) div {down})"
+    short = f"least({1 + more}, {need}) - {need}"
+    ok = f"{need} <= least(na, nb) AND pa < na + {short} AND pb < nb + {short}"
+    both = x.join(y, on).where("(a < b OR ta < tb) AND a <> b" if turns else "a < b").where(ok)
+    return both.select("a", "b", F.expr(need).alias("need"), *([F.expr("ta = tb").alias("same")] if turns else []))
 
 
-def merged(left: DataFrame, right: DataFrame, t: Fraction, more: int = MORE, ordered: bool = True, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Pairs (a, b) with enough occurrences in short lists; ``ordered``: both sides are one table, a < b.
+def merged(left: DataFrame, right: DataFrame, t: Fraction, more: int = MORE, turns: bool = False, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Pairs (a, b) with enough occurrences in short lists, a < b if both sides are one table.
 
+    turns: ``right`` is the part of ``left`` with the last turn; same tells
+    whether a is of it too (then a < b).
     lists: the ``long_lists`` of both sides, where there are any. Their entries
     are merged by pairs of blocks, the others as they are.
     """
     if lists is None:
-        met = _met(left, right, ["sh"], t, more, ordered)
+        met = _met(left, right, ["sh"], t, more, turns)
     else:
         of_l, of_r = lists
         any_hot = of_l.select("sh").unionAll(of_r.select("sh")).distinct()
@@ -172,13 +172,14 @@ def merged(left: DataFrame, right: DataFrame, t: Fraction, more: int = MORE, ord
         def cells(e: DataFrame, own: str, own_lists: DataFrame, other: str, other_lists: DataFrame) -> DataFrame:
             e = e.join(any_hot, "sh", "left_semi").join(own_lists.withColumnRenamed("of", "o1"), "sh", "left").join(other_lists.withColumnRenamed("of", "o2"), "sh", "left")
             e = e.withColumn(own, F.pmod(F.xxhash64("id"), F.coalesce("o1", F.lit(1))).cast("int"))
-            return e.select("sh", "id", "n", "pos", own, F.explode(F.sequence(F.lit(0), F.coalesce("o2", F.lit(1)) - 1)).alias(other))
+            return e.select("*", F.explode(F.sequence(F.lit(0), F.coalesce("o2", F.lit(1)) - 1)).alias(other)).drop("o1", "o2")
 
-        plain = _met(left.join(any_hot, "sh", "left_anti"), right.join(any_hot, "sh", "left_anti"), ["sh"], t, more, ordered)
-        hot = _met(cells(left, "i", of_l, "j", of_r), cells(right, "j", of_r, "i", of_l), ["sh", "i", "j"], t, more, ordered)
+        plain = _met(left.join(any_hot, "sh", "left_anti"), right.join(any_hot, "sh", "left_anti"), ["sh"], t, more, turns)
+        hot = _met(cells(left, "i", of_l, "j", of_r), cells(right, "j", of_r, "i", of_l), ["sh", "i", "j"], t, more, turns)
         met = plain.unionAll(hot)
-    enough = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.least(F.lit(1 + more), F.col("need")))
-    return enough.select("a", "b")
+    keys = ["a", "b", "same"] if turns else ["a", "b"]
+    enough = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need")).where(F.col("c") >= F.least(F.lit(1 + more), F.col("need")))
+    return enough.select(*keys)
 
 
 def checked(pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
