@@ -1,23 +1,50 @@
 import random
 
 import numpy as np
+import pytest
 
 from quern.llm import abuse, consensus, mixing, pii, quality
 
 
-def test_pii(spark):
-    rows = [
-        (1, "liên hệ chị Nguyễn Thị Hoa, sđt 0912 345 678 hoặc hoa.nt＠mail.example.com nhé"), (2, "ship về số nhà 12, thôn Bến Cải, xã Bờ Đá giùm mình"), (3, "cccd 0037 2607 6688 bị rơi, hộ chiếu B1234567"), (4, "stk 92519408859212, mã đơn SPN223510488, gọi 1900 0210, tag @abc_1, chị Hoa ở đường Hoa Mai"), (5, None), (6, ""), (7, "x " * 20_000), (1, "liên hệ chị Nguyễn Thị Hoa"),
-    ]
+PII_TEXTS = [
+    "liên hệ chị Nguyễn Thị Hoa, sđt 0912 345 678 hoặc hoa.nt＠mail.example.com nhé", "ship về số nhà 12, thôn Bến Cải, xã Bờ Đá giùm mình", "cccd 0037 2607 6688 bị rơi, hộ chiếu B1234567",
+    "stk 92519408859212, mã đơn SPN223510488, gọi 1900 0210, tag @abc_1, chị Hoa ở đường Hoa Mai", "hồ sơ của Trần Kim Ngân còn thiếu ảnh, gọi 0912345678 gặp em", "phụ huynh em Lê Quỳnh Anh nhớ đóng tiền", "tiệm ở 12 ngõ 7 phố Cầu Tre, quận Bờ Lau, giá 239.000đ, 53 phút",
+    "cmnd 320357491 cấp lâu rồi, mail linh.tran@lop12.example giúp mình", "trọ phòng 43 chung cư Mây Chiều còn chỗ, alo 057.765.62.95", "công nhận mai tính, phạm vi hẹp, cao minh bạch lắm, văn hay chữ tốt", "hôm nay trời đẹp, mai đi chơi 3 ngày 2 đêm giá 1,4 triệu",
+]
+
+
+@pytest.fixture(scope="module")
+def pii_model():
+    return pii.train(PII_TEXTS * 6)
+
+
+def test_pii(spark, pii_model, monkeypatch):
+    rows = [*enumerate(PII_TEXTS[:4], 1), (5, None), (6, ""), (7, "x " * 20_000), (1, "liên hệ chị Nguyễn Thị Hoa")]
     df = spark.createDataFrame([(*r, "k") for r in rows], "id bigint, text string, kind string")
-    model = pii.train([t for _, t in rows if t] * 5)
-    got = {(r.id, r.kind) for r in pii.found(df, model=model).collect()}
+    got = {(r.id, r.kind) for r in pii.found(df, model=pii_model).collect()}
     assert got == {(1, "person_name"), (1, "phone"), (1, "email"), (2, "address"), (3, "id_number")}
-    red = {r.id: r.redacted for r in pii.redacted(df.where("id > 1"), model=model).collect()}
+    red = {r.id: r.redacted for r in pii.redacted(df.where("id > 1"), model=pii_model).collect()}
     assert red[2] == "ship về [ADDRESS] giùm mình" and red[5] is None and red[6] == "" and red[7] == rows[6][1]
     assert pii.found(df.limit(0)).count() == 0
 
 
+def test_pii_is_decided_without_patterns(pii_model, monkeypatch):
+    want = [{k for k, _, _ in x} for x in pii.spans(PII_TEXTS, pii_model)]
+    assert want[0] == {"person_name", "phone", "email"} and not want[3] and not want[9] and not want[10]
+    monkeypatch.setattr(pii, "PATTERNS", [])
+    monkeypatch.setattr(pii.Document, "matches", lambda self: 1 / 0)
+    assert [{k for k, _, _ in x} for x in pii.spans(PII_TEXTS, pii_model)] == want
+
+
+def test_pii_mentions_share_their_evidence(pii_model):
+    """A name in lower case without accents or cue is found where the same name stands plainly, however often and far away; not without skip factors."""
+    alone = pii.Model(pii_model.weights, pii_model.chain, np.zeros_like(pii_model.skip))
+    t = "hồ sơ của Trần Kim Ngân còn thiếu ảnh. " + "trời đẹp quá đi chơi thôi " * 40 + "bữa trước tran kim ngan ghé qua. " * 10
+    names = lambda m: [t[a:b] for k, a, b in pii.spans([t], m)[0] if k == "person_name"]
+    assert names(alone) == ["Trần Kim Ngân"]
+    assert names(pii_model) == ["Trần Kim Ngân"] + ["tran kim ngan"] * 10
+
+
 def test_abuse(spark):
     texts = ["mày đúng là đồ súc vật, câm mồm lại", "hôm nay trời đẹp quá đi chơi thôi", "bác sĩ dặn tái khám sau một tuần", None, ""] * 12
     posts = spark.createDataFrame([(i, t, "a" if i % 2 else None) for i, t in enumerate(texts)], "id bigint, text string, source string")
