@@ -41,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": lambda s, d: abuse.flagged(abuse.scores(table(s, d, "samples"), table(s, d, "review_labels"))),
     "p5_scores": lambda s, d: abuse.scores(table(s, d, "samples"), table(s, d, "review_labels")),
     "p5_rates": lambda s, d: abuse.rates(abuse.scores(table(s, d, "samples"), table(s, d, "review_labels"))),
+    "p5_voters": lambda s, d: abuse.voters(abuse.supervised(table(s, d, "samples"), table(s, d, "review_labels"))),
     "p6_found": lambda s, d: consensus.disputed(_consensus(s, d)),
     "p6_labels": lambda s, d: consensus.item_labels(_consensus(s, d)),
     "p6_reliability": lambda s, d: consensus.reliability(_consensus(s, d)),

@@ -71,6 +71,36 @@ def test_label_model_tells_good_voters():
     assert np.mean([(of[tuple(v)] > 0.5) for v in votes[told]]) > 0.9
 
 
+def test_abuse_finds_what_no_voter_says_and_drops_what_weak_ones_say(spark):
+    """Reviewed texts teach a phrase that no voter knows; a voter that is mostly wrong flags nothing alone; sources are one spelling."""
+    rng = random.Random(5)
+    filler = [f"chuyện {w} hôm nay ở {p}" for w in ("mưa", "nắng", "học bài", "nấu cơm", "đi chợ", "xem phim", "đọc sách") for p in ("nhà", "trường", "quán", "chợ", "công viên", "bến xe")]
+    rows, want = [], set()
+    for i in range(600):
+        t, kind = f"{rng.choice(filler)} {rng.choice(filler)}", i % 6
+        if kind == 0:
+            t += " đồ khốn nạn, câm mồm lại"
+        elif kind == 1:
+            t += " quắn rọ xìu bẹp lắm nha"  # a phrase of no lexicon
+        elif kind == 2:
+            t += " mua loại máy này tốt"  # like_you by mistake
+        if kind < 2:
+            want.add(i)
+        rows.append((i, t, ("Threads", " threads ", "THREADS", None)[i % 4]))
+    posts = spark.createDataFrame(rows, "id bigint, text string, source string")
+    reviews = spark.createDataFrame([(i, int(i in want)) for i in range(0, 600, 2)] + [(i, int(i in want)) for i in range(1, 600, 5)], "id bigint, unsafe int")
+    s = abuse.scores(posts, reviews)
+    got = {r.id for r in abuse.flagged(s).collect()}
+    assert len(got & want) > 0.95 * len(want) and len(got - want) < 10
+    assert {r.source for r in abuse.rates(s).collect()} == {"threads", None}
+    v = {r.voter: r for r in abuse.voters(abuse.supervised(posts, reviews)).collect()}
+    assert v["shut_up"].accuracy > 0.9 and v["like_you"].accuracy < 0.2 and v["like_you"].n_votes == 100
+    assert abs(v["like_unsafe"].reviewed_accuracy - 1) < 0.1 and len(v) == len(abuse.VOTERS)
+    plain = [abuse.plain(t) for _, t, _ in rows]
+    majority = {i for i, t in enumerate(plain) if sum(abuse.votes(t, None)[: len(abuse.UNSAFE)]) > -len(abuse.UNSAFE)}
+    assert len(got ^ want) < len(majority ^ want)
+
+
 def test_consensus(spark):
     rng = random.Random(3)
     truth = {i: rng.randrange(2) for i in range(150)}
