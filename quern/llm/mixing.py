@@ -4,20 +4,22 @@ Each source's documents, in order of id, are one stream of tokens cut into
 blocks of a fixed length (the last one may be shorter). The size of the mixture
 is the largest at which every source that is there can give its share without
 a block, and so a document, being taken more than ``max_repeats`` times. Slots
-of an output shard get their source by a multinomial draw, conditioned on the
-exact totals; the j-th slot of a source takes the block that a pseudorandom
-permutation of the source's indexes, a new one for each repetition, gives for
-j. Slots and blocks meet in one join by index. Only the shards' counts (one row
-for each shard and source) are made on the driver.
+of an output shard get their source by a multinomial draw, on condition of the
+exact totals (a free draw would miss the target shares by chance and the caps on
+repeats with it); executors draw it in a splittable tree over the shards. The
+j-th slot of a source takes the block that a pseudorandom permutation of the
+source's indexes, a new one for each repetition, gives for j. Slots and blocks
+meet in one join by index.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +54,7 @@ def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
 
 
 def segments(sized: DataFrame, block: int) -> tuple[DataFrame, dict[str, int]]:
-    """Pieces (source, block, doc_id, first, n) of ``sized``(source, doc_id, tokens), and each source's tokens.
+    """Pieces (source, block, doc_id, first, n) of ``sized``(source, doc_id, tokens; read twice), and each source's tokens.
 
     The running sum is made in two steps, within the partitions of a range
     partitioning and over the partitions' totals, so no source is one task.
@@ -71,7 +73,7 @@ def segments(sized: DataFrame, block: int) -> tuple[DataFrame, dict[str, int]]:
     placed = stored(ranged.mapInArrow(run, "part int, source string, doc_id bigint, tokens bigint, start bigint"), "placed")
     totals: dict[str, int] = {}
     bases = []
-    for row in sorted(placed.groupBy("part", "source").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: (r.source, r.part)):
+    for row in sorted(placed.groupBy("part", "source").agg(F.sum("tokens").alias("n")).collect(), key=lambda r: (r.source, r.part)):  # rows by partition
         bases.append((row.part, row.source, totals.get(row.source, 0)))
         totals[row.source] = bases[-1][2] + row.n
     base = placed.sparkSession.createDataFrame(bases, "part int, source string, base bigint")
@@ -81,55 +83,103 @@ def segments(sized: DataFrame, block: int) -> tuple[DataFrame, dict[str, int]]:
     return cut.select("source", "block", "doc_id", (lo - F.col("start")).cast("int").alias("first"), (hi - lo).cast("int").alias("n"), (lo - F.col("block") * block).cast("int").alias("place")), totals
 
 
-def plan(tokens: dict[str, int], targets: list[tuple[str, float, int]], block: int, shard: int, seed: int, total: int | None = None) -> list[tuple[int, str, int, int, int]]:
-    """Rows (shard, source, first ordinal, slots, blocks of the source)."""
-    there = [(s, share, repeats) for s, share, repeats in sorted(targets) if share > 0 and repeats > 0 and tokens.get(s)]
-    if not there:
-        return []
-    whole = sum(share for _, share, _ in there)
-    most = min(tokens[s] * repeats / (share / whole) for s, share, repeats in there)
-    size = most if total is None else min(total, most)
-    blocks = [ceil(tokens[s] / block) for s, _, _ in there]
-    # blocks of a source hold tokens / blocks on average, as the last may be short
-    left = np.array([min(n * repeats, round(size * share / whole / (tokens[s] / n))) for (s, share, repeats), n in zip(there, blocks, strict=True)], np.int64)
-    rng, used, rows, k = np.random.default_rng(seed), np.zeros(len(there), np.int64), [], 0
-    while left.sum():
-        take = np.zeros(len(there), np.int64)
-        open_, room = int(left.sum()), int(min(shard, left.sum()))
-        for i in range(len(there)):  # a multinomial draw on condition of the totals, source by source
-            take[i] = rng.hypergeometric(left[i], open_ - left[i], room) if room and open_ < 2**30 else (round(room * left[i] / open_) if room else 0)
-            open_ -= int(left[i])
-            room -= int(take[i])
-        rows += [(k, there[i][0], int(used[i]), int(take[i]), blocks[i]) for i in range(len(there)) if take[i]]
-        used += take
-        left -= take
-        k += 1
-    return rows
-
-
-def slots(spark, rows: list[tuple[int, str, int, int, int]], seed: int) -> DataFrame:
-    """(shard, slot, source, repeat, block): which block each slot takes; slots of a shard are in pseudorandom order."""
+class Plan:
+    """How many slots each source gets in all (``slots``), and how they are drawn to shards.
+
+    A shard's counts are a multinomial draw of its slots by source, on condition
+    of the totals: a binary tree over the shards, in whose nodes the left half's
+    counts are drawn from the node's. Each node has a random number generator of
+    its own, seeded by its place, so any range of shards can be drawn anywhere
+    from the root down in as many steps as the tree is deep. The plan itself is one
+    line a source, however many tokens there are.
+    """
+
+    def __init__(self, tokens: dict[str, int], targets: list[tuple[str, float, int]], block: int, shard: int, seed: int, total: int | None = None) -> None:
+        there = [(s, share, repeats) for s, share, repeats in sorted(targets) if share > 0 and repeats > 0 and tokens.get(s)]
+        self.sources, self.shard, self.seed = [s for s, _, _ in there], shard, seed
+        self.blocks = np.array([-(-tokens[s] // block) for s, _, _ in there], np.int64)
+        self.slots = np.zeros(len(there), np.int64)
+        if there:
+            whole = sum(share for _, share, _ in there)
+            most = min(tokens[s] * repeats / (share / whole) for s, share, repeats in there)
+            size = most if total is None else min(total, most)
+            # blocks of a source hold tokens / blocks on average, as the last may be short
+            self.slots = np.array([min(int(n) * repeats, round(size * share / whole / (tokens[s] / int(n)))) for (s, share, repeats), n in zip(there, self.blocks, strict=True)], np.int64)
+        self.shards = -(-int(self.slots.sum()) // shard)
+
+    def _split(self, counts: np.ndarray, left: int, node: tuple[int, int]) -> np.ndarray:
+        """Of a node's slots by source, those of its left part of ``left`` slots."""
+        rng = np.random.default_rng([self.seed, *node])
+        out, open_, room = np.zeros_like(counts), int(counts.sum()), left
+        for i, n in enumerate(counts.tolist()):
+            out[i] = _draw(rng, n, open_ - n, room)
+            open_ -= n
+            room -= int(out[i])
+        return out
+
+    def shard_counts(self, start: int, stop: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, first ordinal by source, slots by source) of the shards from start on, before stop."""
+        total = int(self.slots.sum())
+        stack = [(0, self.shards, self.slots, np.zeros_like(self.slots))]
+        while stack:
+            lo, hi, counts, before = stack.pop()
+            if lo >= stop or hi <= start or lo >= hi:
+                continue
+            if hi - lo == 1:
+                yield lo, before, counts
+                continue
+            mid = (lo + hi) // 2
+            left = self._split(counts, min(mid * self.shard, total) - lo * self.shard, (lo, hi))
+            stack += [(mid, hi, counts - left, before + left), (lo, mid, left, before)]
+
+
+def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric draw: how many of ``n`` taken out of good and bad ones are good; for numbers of any size.
+
+    numpy draws from up to 10^9 of a kind. Beyond, the normal law with the draw's
+    mean and deviation stands for it, rounded and kept within the draw's bounds;
+    the counts of all shards add up to the totals whichever way is taken.
+    """
+    if n == 0 or good == 0:
+        return 0
+    if bad == 0 or n == good + bad:
+        return min(n, good)
+    if max(good, bad) < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    all_ = good + bad
+    mean = n * (good / all_)
+    deviation = sqrt(mean * (bad / all_) * ((all_ - n) / max(1, all_ - 1)))
+    return int(min(max(round(rng.normal(mean, deviation)), n - bad, 0), n, good))
+
+
+#: So many shards are drawn by one row of the plan.
+RANGE = 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
+def slots(spark, plan: Plan) -> DataFrame:
+    """(shard, slot, source, repeat, block): which block each slot takes; slots of a shard are in pseudorandom order.
+
+    The plan goes to executors as it is, a line a source; they draw the counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, source, first, count, blocks, before, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                j = first + np.arange(count)
-                repeat, i = j // blocks, j % blocks
-                key = np.array([xxhash.xxh3_64_intdigest(f"{seed}:{source}:{r}") for r in range(int(repeat.max()) + 1)], np.uint64)[repeat]
-                full = np.full(count, blocks)
-                slot = permuted(before + np.arange(count), np.full(count, size), np.full(count, xxhash.xxh3_64_intdigest(f"{seed}#{shard}"), np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, shard)), pa.array(slot), pa.array([source] * count, pa.string()), pa.array(repeat.astype(np.int32)), pa.array(permuted(i, full, key))], names=["shard", "slot", "source", "repeat", "block"])
-
-    sizes: dict[int, int] = {}
-    with_place = []
-    for r in rows:
-        with_place.append((*r, sizes.get(r[0], 0)))
-        sizes[r[0]] = with_place[-1][-1] + r[3]
-    full = [(*r, sizes[r[0]]) for r in with_place]
-    df = spark.createDataFrame(full, "shard bigint, source string, first bigint, n bigint, blocks bigint, before bigint, size bigint")
-    return df.mapInArrow(run, "shard bigint, slot bigint, source string, repeat int, block bigint")
+            for k in b.column(0).to_pylist():
+                for shard, first, counts in plan.shard_counts(k * RANGE, min((k + 1) * RANGE, plan.shards)):
+                    size = int(counts.sum())
+                    which = np.repeat(np.arange(len(counts)), counts)
+                    j = first[which] + np.arange(size) - np.repeat(np.cumsum(counts) - counts, counts)
+                    blocks = plan.blocks[which]
+                    repeat = j // blocks
+                    pairs, at = np.unique(np.stack([which, repeat]), axis=1, return_inverse=True)
+                    key = np.array([xxhash.xxh3_64_intdigest(f"{plan.seed}:{plan.sources[w]}:{r}") for w, r in pairs.T.tolist()], np.uint64)[at.ravel()]
+                    slot = permuted(np.arange(size), np.full(size, size), np.full(size, xxhash.xxh3_64_intdigest(f"{plan.seed}#{shard}"), np.uint64))
+                    names = pa.DictionaryArray.from_arrays(pa.array(which, pa.int32()), pa.array(plan.sources, pa.string())).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, shard, np.int64)), pa.array(slot), names, pa.array(repeat.astype(np.int32)), pa.array(permuted(j % blocks, blocks, key))], names=["shard", "slot", "source", "repeat", "block"])
+
+    ranges = -(-plan.shards // RANGE)
+    parts = max(1, min(ranges, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, ranges, 1, parts).mapInArrow(run, "shard bigint, slot bigint, source string, repeat int, block bigint")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 17, total: int | None = None, path: str | None = None) -> DataFrame:
@@ -142,15 +192,22 @@ def mixture(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shard:
     """
     want = [(r.source, float(r.target_share), int(r.max_repeats)) for r in targets.where("source is not null and target_share is not null and max_repeats is not null").select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").collect()]
     mine = documents.select("doc_id", "text", source_name(F.col("source")).alias("source")).where(F.col("source").isin([s for s, _, _ in want]))
-    pieces, tokens = segments(with_token_count(mine, path=path), block)
-    rows = plan(tokens, want, block, shard, seed, total)
-    return slots(documents.sparkSession, rows, seed).join(pieces, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "place", "doc_id", "first", "n")
+    # written, as the range partitioning reads its input twice
+    pieces, tokens = segments(stored(with_token_count(mine, path=path).select("source", "doc_id", "tokens"), "sizes"), block)
+    plan = Plan(tokens, want, block, shard, seed, total)
+    return slots(documents.sparkSession, plan).join(pieces, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "place", "doc_id", "first", "n")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per target: (source, target_share, max_repeats, tokens, actual_share, most_repeats); 0 for sources without documents."""
+    """One row per target: (source, target_share, spread_share, max_repeats, tokens, actual_share, most_repeats); 0 for sources without documents.
+
+    spread_share: the target once the shares of sources without documents are
+    spread over the others in proportion.
+    """
     per = mixed.groupBy("source").agg(F.sum("n").alias("tokens"), (F.max("repeat") + 1).alias("most_repeats"))
-    whole = mixed.agg(F.sum("n").alias("whole")).first()["whole"] or 1
-    t = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
+    t = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").join(stored(per, "per"), "source", "left")
+    all_ = t.agg(F.sum("tokens").alias("whole"), F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).alias("there")).first()
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return t.join(per, "source", "left").select("source", "target_share", "max_repeats", zero(F.col("tokens")).alias("tokens"), F.round(zero(F.col("tokens")) / whole, 6).alias("actual_share"), zero(F.col("most_repeats")).alias("most_repeats"))
+    actual = F.round(zero(F.col("tokens")) / F.lit(all_.whole or 1), 6)
+    spread_share = F.round(F.when(F.col("tokens") > 0, F.col("target_share") / F.lit(all_.there or 1.0)).otherwise(0.0), 6)
+    return t.select("source", "target_share", spread_share.alias("spread_share"), "max_repeats", zero(F.col("tokens")).alias("tokens"), actual.alias("actual_share"), zero(F.col("most_repeats")).alias("most_repeats"))

@@ -125,10 +125,32 @@ def test_permutation_and_plan():
         i = np.arange(n)
         out = mixing.permuted(i, np.full(n, n), np.full(n, 7, np.uint64))
         assert sorted(out) == list(range(n))
-    rows = mixing.plan({"a": 10_000, "b": 900}, [("a", 0.7, 1), ("b", 0.2, 3), ("c", 0.1, 2)], 100, 16, 1)
-    n = {s: sum(r[3] for r in rows if r[1] == s) for s in "ab"}
-    assert n["b"] == 27 and abs(n["a"] / (n["a"] + n["b"]) - 7 / 9) < 0.02 and all(r[1] != "c" for r in rows)
-    assert mixing.plan({}, [("a", 1.0, 1)], 100, 16, 1) == []
+    plan = mixing.Plan({"a": 10_000, "b": 900}, [("a", 0.7, 1), ("b", 0.2, 3), ("c", 0.1, 2)], 100, 16, 1)
+    n = dict(zip(plan.sources, plan.slots.tolist(), strict=True))
+    assert n["b"] == 27 and abs(n["a"] / (n["a"] + n["b"]) - 7 / 9) < 0.02 and "c" not in n
+    rows = list(plan.shard_counts(0, plan.shards))
+    assert [r[0] for r in rows] == list(range(plan.shards)) and (sum(r[2] for r in rows) == plan.slots).all()
+    assert all(r[2].sum() == 16 for r in rows[:-1]) and rows[-1][2].sum() == plan.slots.sum() - 16 * (plan.shards - 1)
+    before = np.zeros(2, int)
+    for _, first, counts in rows:
+        assert (first == before).all()
+        before = before + counts
+    some = [*plan.shard_counts(2, 5)]
+    assert [(k, a.tolist(), c.tolist()) for k, a, c in some] == [(k, a.tolist(), c.tolist()) for k, a, c in rows[2:5]]
+    none = mixing.Plan({}, [("a", 1.0, 1)], 100, 16, 1)
+    assert none.shards == 0 and not list(none.shard_counts(0, 1))
+
+
+def test_plan_of_any_size_is_a_line_a_source():
+    """10^13 and 10^16 tokens: any shards are drawn at once, still by chance and within the deviation of the draw."""
+    for tokens in (10**13, 10**16):
+        plan = mixing.Plan({"a": tokens, "b": tokens // 10}, [("a", 0.75, 1), ("b", 0.25, 40)], 1024, 512, 3)
+        middle = plan.shards // 2
+        rows = list(plan.shard_counts(middle, middle + 300))
+        assert len(rows) == 300 and all(c.sum() == 512 for _, _, c in rows)
+        b = np.array([c[1] for _, _, c in rows])
+        assert abs(b.mean() - 128) < 3 and 6 < b.std() < 14
+        assert all((f2 == f1 + c1).all() for (_, f1, c1), (_, f2, _) in zip(rows, rows[1:], strict=False))
 
 
 def test_mixture(spark):
@@ -144,6 +166,7 @@ def test_mixture(spark):
     assert max(used.values()) <= 2 and not {r.doc_id for r in rows} & {97, 98, 99}
     s = {r.source: r.actual_share for r in mixing.shares(m, targets).collect()}
     assert s["gone"] == 0 and abs(s["threads"] - 5 / 9) < 0.06
+    assert {r.source: round(r.spread_share, 4) for r in mixing.shares(m, targets).collect()} == {"threads": 0.5556, "fb_page": 0.4444, "gone": 0.0}
     again = mixing.mixture(df.repartition(5), targets, block=32, shard=8).collect()
     assert sorted(rows) == sorted(again)
 
