@@ -53,6 +53,29 @@ def test_threshold_edge(spark):
     assert {(r.a, r.b) for r in D.near_links(d).collect()} == {(1, 2)}
 
 
+def test_long_lists_are_split(spark):
+    rng = random.Random(8)
+    base = [rng.randrange(2**32) for _ in range(128)]
+    rows = []
+    for i in range(60):
+        s = list(base)
+        for j in rng.sample(range(128), rng.randrange(1, 26)):
+            s[j] = rng.randrange(2**32)
+        rows.append((i, s))
+    d = spark.createDataFrame(rows, "id bigint, signature array<bigint>")
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and sum(x == y for x, y in zip(a, b, strict=True)) >= 109}
+    for hot in (D.HOT, 7):
+        assert {(r.a, r.b) for r in D.near_links(d, hot=hot).where("similarity < 1").collect()} == {p for p in want if rows[p[0]][1] != rows[p[1]][1]}
+
+
+def test_the_smallest_are_exact_whatever_the_size(spark, monkeypatch):
+    monkeypatch.setattr(D, "SORTED", 3)
+    df = spark.range(3000).select(F.md5(F.col("id").cast("string")).alias("r"), "id").unionAll(spark.range(3000, 3010).select(F.lit("0" * 32).alias("r"), "id"))
+    rows = sorted((r.r, r.id) for r in df.collect())
+    for k in (0, 1, 4, 10, 11, 700, 3009, 3010, 5000):
+        assert sorted((r.r, r.id) for r in D.smallest(df, "r", "id", k).collect()) == rows[:k]
+
+
 def test_numbers_and_batches(spark):
     df = spark.createDataFrame([(x,) for x in random.Random(1).sample(range(1000), 200)], "k bigint").repartition(7)
     got = [(r.k, r.n) for r in D.numbered(df, "k", "n").orderBy("k").collect()]
