@@ -15,6 +15,7 @@ from quern.operators import merge as M
 from quern.operators import stats as S
 from quern.plans import annotate, preprocess
 from quern.session import fresh_path, spread, table
+from quern.sources import readers as R
 from quern.streaming.incremental import merge_new
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,20 +69,40 @@ n AS (SELECT * FROM samples WHERE {q_strip('text')} <> '' AND {q_strip('image_pa
 e AS (SELECT *, row_number() OVER (PARTITION BY {q_norm('text')} ORDER BY id) AS r FROM n)"""
 
 
-@query(f"WITH {_KEPT_SQL} SELECT id AS old_id, row_number() OVER (ORDER BY id) AS id, text, image_path, source FROM e WHERE r = 1")
+def q_near(src: str) -> str:
+    """Near links and the greedy choice over ``src``(id, t: normalised text): li (a, b, sim) of first rows of a signature, cp (a, b) of copies, dr (id) of what is dropped."""
+    return f"""ws AS (SELECT id, t, string_split(t, ' ') AS w FROM {src}),
+gr AS (SELECT id, CASE WHEN t = '' OR len(w) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM ws),
+hs AS (SELECT id, list_transform(g, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM gr),
+si AS (SELECT id, list_transform(range(0, 128), lambda i: list_min(list_transform(h, lambda x: xor(x, (2654435761 * i) & 4294967295)))) AS s FROM hs),
+rp AS (SELECT min(id) AS id, s FROM si GROUP BY s),
+cp AS (SELECT rp.id AS a, si.id AS b FROM si JOIN rp ON si.s = rp.s WHERE si.id <> rp.id),
+pl AS (SELECT id, p, s[p] AS v FROM (SELECT id, s, unnest(range(1, 21)) AS p FROM rp)),
+ca AS (SELECT DISTINCT x.id AS a, y.id AS b FROM pl x JOIN pl y ON x.p = y.p AND x.v = y.v AND x.id < y.id),
+li AS (SELECT a, b, sim FROM (SELECT ca.a, ca.b, len(list_filter(list_zip(x.s, y.s), lambda z: z[1] = z[2])) / 128.0 AS sim FROM ca JOIN rp x ON x.id = ca.a JOIN rp y ON y.id = ca.b) WHERE sim >= 0.85),
+nb AS (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM li GROUP BY b),
+go(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT nb.k, CASE WHEN len(list_filter(nb.before, lambda x: NOT list_contains(go.gone, x))) > 0 THEN list_append(go.gone, nb.id) ELSE go.gone END FROM go JOIN nb ON nb.k = go.k + 1),
+dr AS (SELECT unnest(gone) AS id FROM (SELECT gone FROM go ORDER BY k DESC LIMIT 1) UNION ALL SELECT b FROM cp)"""
+
+
+_LISTING = "SELECT image_path AS path FROM samples WHERE image_path <> '' AND id % 5 <> 0"
+_CLEANED = f"WITH RECURSIVE {_KEPT_SQL}, src AS (SELECT id, {q_norm('text')} AS t FROM e WHERE r = 1), {q_near('src')}"
+
+
+@query(f"{_CLEANED} SELECT id AS old_id, row_number() OVER (ORDER BY id) AS id, text, image_path, source FROM e WHERE r = 1 AND id NOT IN (SELECT id FROM dr)")
 def preprocess_kept(s, d):
-    return preprocess.kept(table(s, d, "samples"), near=False)
+    return preprocess.kept(table(s, d, "samples"))
 
 
-@query(f"""WITH {_KEPT_SQL}, a AS (SELECT CASE WHEN n.id IS NULL THEN 'null' WHEN e.r > 1 THEN 'exact' ELSE 'kept' END AS stage
-FROM samples s LEFT JOIN n USING (id) LEFT JOIN e USING (id)) SELECT stage, count(*) AS n_rows FROM a GROUP BY 1""")
+@query(f"""{_CLEANED}, a AS (SELECT CASE WHEN n.id IS NULL THEN 'null' WHEN e.r > 1 THEN 'exact' WHEN dr.id IS NOT NULL THEN 'near' ELSE 'kept' END AS stage
+FROM samples s LEFT JOIN n USING (id) LEFT JOIN e USING (id) LEFT JOIN dr USING (id)) SELECT stage, count(*) AS n_rows FROM a GROUP BY 1""")
 def preprocess_stages(s, d):
-    return preprocess.stage_report(table(s, d, "samples"), near=False)
+    return preprocess.stage_report(table(s, d, "samples"))
 
 
-@query()
-def preprocess_with_near(s, d):
-    return preprocess.stage_report(table(s, d, "samples"))
+@query(f"WITH {_KEPT_SQL} SELECT id AS old_id, row_number() OVER (ORDER BY id) AS id, text, image_path, source FROM e WHERE r = 1")
+def preprocess_exact_only(s, d):
+    return preprocess.kept(table(s, d, "samples"), near=False)
 
 
 @query()
@@ -140,9 +161,8 @@ g AS (SELECT id, CASE WHEN t = '' OR len(w) < 3 THEN [t] ELSE list_distinct(list
 
 @query(f"{_GRAMS} SELECT id, len(g)::BIGINT AS n_shingles FROM g")
 def shingle_count(s, d):
-    n = table(s, d, "samples").select("id", F.coalesce(X.normalized(F.col("text")), F.lit("")).alias("t")).withColumn("w", F.split("t", " "))
-    grams = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    return n.select("id", F.when(F.size("w") < 3, F.lit(1)).otherwise(F.size(F.array_distinct(grams))).cast("bigint").alias("n_shingles"))
+    normal = table(s, d, "samples").select("id", F.coalesce(X.normalized(F.col("text")), F.lit("")).alias("t"))
+    return normal.select("id", F.size(X.word_grams(F.col("t"))).cast("bigint").alias("n_shingles"))
 
 
 @query(f"""{_GRAMS}, h AS (SELECT id, ('0x' || substr(md5(unnest(g)), 1, 8))::BIGINT AS h FROM g)
@@ -152,12 +172,15 @@ def minhash_signature(s, d):
     return m.select("id", *[F.col("signature")[i].alias(f"s{i}") for i in (0, 1, 64, 127)])
 
 
-@query()
+_ALL_NEAR = f"WITH RECURSIVE src AS (SELECT id, coalesce({q_norm('text')}, '') AS t FROM samples), {q_near('src')}"
+
+
+@query(f"{_ALL_NEAR} SELECT a, b, sim::DOUBLE AS similarity FROM li UNION ALL SELECT a, b, 1.0 FROM cp")
 def near_links(s, d):
     return D.near_links(D.minhash(spread(table(s, d, "samples").select("id", "text"))))
 
 
-@query()
+@query(f"{_ALL_NEAR} SELECT id FROM src WHERE id NOT IN (SELECT id FROM dr)")
 def near_dedup_kept(s, d):
     return D.near_marked(table(s, d, "samples").select("id", "text")).where("is_kept").select("id")
 
@@ -310,10 +333,21 @@ def caption_clean(s, d):
     return _doubled(s, d).select("id", X.clean_caption(F.col("t")).alias("caption"))
 
 
-@query(f"SELECT {_KEY}, array_to_string(list_transform(list_filter(coalesce(image_local, []), lambda x: length(x) >= 3), lambda x: x), ' ') AS parts FROM thread_sessions WHERE len(list_distinct(coalesce(image_local, []))) = len(coalesce(image_local, []))")
+_LINES_ONCE = f"array_to_string({q_tail('l')}, chr(10))"
+
+
+@query(f"""WITH a AS ({_DOUBLED}), b AS (SELECT id, {q_strip('t')} AS t FROM a), c AS (SELECT id, string_split(t, chr(10)) AS l FROM b),
+e AS (SELECT id, {q_strip(_LINES_ONCE)} AS t FROM c) SELECT id, nullif({q_halve('t', 0)}, '') AS clean FROM e""")
+def facebook_clean(s, d):
+    return _doubled(s, d).select("id", X.clean_facebook(F.col("t")).alias("clean"))
+
+
+@query(f"""WITH a AS (SELECT *, list_filter(list_concat(coalesce(image_local, []), coalesce(image_local, [])), lambda x: length(x) >= 3) AS l FROM thread_sessions)
+SELECT {_KEY}, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS parts FROM a""")
 def distinct_parts(s, d):
-    t = table(s, d, "thread_sessions").withColumn("i", F.coalesce("image_local", F.array().cast("array<string>")))
-    return t.where(F.size(F.array_distinct("i")) == F.size("i")).select("session", "post_link", "scraped_at", X.joined_parts(F.col("i")).alias("parts"))
+    """Each list twice over, so every row has repeats."""
+    i = F.coalesce("image_local", F.array().cast("array<string>"))
+    return table(s, d, "thread_sessions").select("session", "post_link", "scraped_at", X.joined_parts(F.concat(i, i)).alias("parts"))
 
 
 @query("SELECT id, CASE WHEN regexp_extract(u, '/([0-9]{9,})[_.]', 1) <> '' THEN regexp_extract(u, '/([0-9]{9,})[_.]', 1) ELSE u END AS image_id FROM (SELECT id, CASE WHEN id % 2 = 0 THEN 'https://cdn.example/v/' || (id + 123456789) || '_n.jpg' ELSE image_path END AS u FROM samples)")
@@ -329,19 +363,23 @@ def image_name_format(s, d):
     return table(s, d, "samples").where("image_path IS NOT NULL").select("id", X.post_image_name(F.col("id"), F.col("image_path")).alias("name"))
 
 
-_LISTING = "SELECT image_path AS path FROM samples WHERE image_path <> '' AND id % 5 <> 0"
-
-
 def _listing(s, d):
     return table(s, d, "samples").where("image_path <> '' AND id % 5 <> 0").select(F.col("image_path").alias("path"))
 
 
 @query(f"SELECT id FROM incoming_posts WHERE replace(image_path, 'threads_merged', 'merged_dataset') IN ({_LISTING}) UNION ALL SELECT id FROM samples WHERE image_path IN ({_LISTING})")
 def exists_semi(s, d):
-    files = _listing(s, d).distinct()
+    files = _listing(s, d)
     a = table(s, d, "incoming_posts").select("id", F.replace("image_path", F.lit("threads_merged"), F.lit("merged_dataset")).alias("path"))
     b = table(s, d, "samples").select("id", F.col("image_path").alias("path"))
-    return a.join(files, "path", "left_semi").select("id").unionAll(b.join(files, "path", "left_semi").select("id"))
+    return preprocess.with_files(a, files).select("id").unionAll(preprocess.with_files(b, files).select("id"))
+
+
+@query(f"SELECT id, CASE WHEN there THEN 1 ELSE 0 END AS n_images, coalesce(trim(image_path) <> '' AND there IS NULL, false) AS image_missing FROM samples LEFT JOIN (SELECT DISTINCT path, true AS there FROM ({_LISTING})) ON path = image_path")
+def image_missing(s, d):
+    t = table(s, d, "samples").withColumn("image_paths", F.lit(None).cast("array<string>"))
+    files = _listing(s, d).select(F.concat(F.lit("data/"), "path").alias("path"))
+    return R.loaded_images(t, files, ["other/", "data/"]).select("id", F.size("images").alias("n_images"), "image_missing")
 
 
 @query(f"""WITH r AS (SELECT id + (id % 2) AS id, {q_file('image_path')} AS cur FROM samples WHERE {q_strip('image_path')} <> ''),
@@ -378,8 +416,8 @@ def judge_parse_validate(s, d):
 
 
 _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY coalesce(label_llm1, '') DESC, coalesce(has_emoji, -1) DESC, coalesce(needs_human_check, -1) DESC, coalesce(notes, '') DESC,
-  coalesce(parse_error, false) DESC, coalesce(image_missing, false) DESC) AS r FROM judge_records WHERE id IS NOT NULL) WHERE r = 1),
-routed AS (SELECT s.id, s.text, s.image_path, label_llm1, has_emoji, needs_human_check, CASE WHEN image_missing THEN 'missing_image' WHEN parse_error THEN 'invalid_json' END AS o FROM samples s JOIN last USING (id)),
+  coalesce(parse_error, false) DESC, coalesce(image_missing, false) DESC, coalesce(map_extract(reasoning, 'verdict')[1], '') DESC, coalesce(cardinality(reasoning), -1) DESC) AS r FROM judge_records WHERE id IS NOT NULL) WHERE r = 1),
+routed AS (SELECT s.id, s.text, s.image_path, reasoning, label_llm1, has_emoji, needs_human_check, CASE WHEN image_missing THEN 'missing_image' WHEN parse_error THEN 'invalid_json' END AS o FROM samples s JOIN last USING (id)),
 r AS (SELECT *, CASE WHEN o = 'invalid_json' THEN 'invalid' WHEN label_llm1 = '1' THEN 'sarcastic' WHEN label_llm1 = '0' THEN 'non_sarcastic' ELSE 'invalid' END AS round1_label,
   CASE WHEN o IS NOT NULL THEN o WHEN label_llm1 IS NULL OR label_llm1 NOT IN ('0', '1') THEN 'uncertain' WHEN needs_human_check = 0 THEN 'high_conf' ELSE 'low_conf' END AS route_reason FROM routed),
 x AS (SELECT *, route_reason <> 'high_conf' AS need_review FROM r)"""
@@ -388,7 +426,7 @@ x AS (SELECT *, route_reason <> 'high_conf' AS need_review FROM r)"""
 def _routed(s, d):
     def order() -> Column:
         none = lambda c, v: F.coalesce(c, F.lit(v))
-        return F.struct(none("label_llm1", ""), none("has_emoji", -1), none("needs_human_check", -1), none("notes", ""), none("parse_error", False), none("image_missing", False))
+        return F.struct(none("label_llm1", ""), none("has_emoji", -1), none("needs_human_check", -1), none("notes", ""), none("parse_error", False), none("image_missing", False), none(F.try_element_at("reasoning", F.lit("verdict")), ""), F.when(F.col("reasoning").isNull(), -1).otherwise(F.size("reasoning")))
 
     return annotate.routed(table(s, d, "samples"), table(s, d, "judge_records").withColumn("o", order()), "o", stamp="2025-01-01T00:00:00Z")
 
@@ -408,18 +446,22 @@ def human_queue(s, d):
     return annotate.outputs(_routed(s, d))["human_queue"].select("id", "route_reason")
 
 
-@query(f"WITH {_LAST} SELECT id, text, image_path, label_llm1, has_emoji, needs_human_check, '2025-01-01T00:00:00Z' AS timestamp FROM x")
+@query(f"WITH {_LAST} SELECT id, text, image_path, label_llm1, has_emoji, needs_human_check, map_extract(reasoning, 'verdict')[1] AS verdict, cardinality(reasoning)::INT AS n_reasons, '2025-01-01T00:00:00Z' AS timestamp FROM x")
 def slim_projection(s, d):
-    return annotate.slim(_routed(s, d)).drop("reasoning")
+    r = annotate.slim(_routed(s, d))
+    return r.withColumns({"verdict": F.try_element_at("reasoning", F.lit("verdict")), "n_reasons": F.when(F.col("reasoning").isNotNull(), F.size("reasoning"))}).drop("reasoning")
 
 
-@query(f"""WITH {_LAST} SELECT count(*) AS total, count(*) FILTER (need_review) AS need_review, count(*) FILTER (NOT need_review) AS auto_accepted,
-round(count(*) FILTER (need_review) / count(*), 4) AS review_rate, count(*) FILTER (round1_label = 'sarcastic') AS sarcastic, count(*) FILTER (round1_label = 'invalid') AS invalid,
-count(*) FILTER (has_emoji IS NULL) AS emoji_null, count(*) FILTER (route_reason = 'uncertain') AS uncertain FROM x""")
+_STATS = [("labels", "round1_label", ["sarcastic", "non_sarcastic", "invalid"]), ("has_emoji", "coalesce(has_emoji::VARCHAR, 'null')", ["0", "1", "null"]), ("needs_human_check", "coalesce(needs_human_check::VARCHAR, 'null')", ["0", "1", "null"]), ("reasons", "route_reason", ["high_conf", "low_conf", "uncertain", "missing_image", "invalid_json", "audit_sampled"])]
+
+
+@query(f"""WITH {_LAST} SELECT count(*) AS total, (SELECT count(*) FROM samples) - count(*) AS bad_count, count(*) FILTER (need_review) AS need_review, count(*) FILTER (NOT need_review) AS auto_accepted,
+round(count(*) FILTER (need_review) / count(*), 4) AS review_rate, round(count(*) FILTER (NOT need_review) / count(*), 4) AS auto_rate,
+{', '.join(f"count(*) FILTER ({c} = '{v}') AS {m}_{v}" for m, c, values in _STATS for v in values)} FROM x""")
 def route_stats(s, d):
-    r = S.routed_stats(_routed(s, d))
-    at = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0))
-    return r.select("total", "need_review", "auto_accepted", "review_rate", at("labels", "sarcastic").alias("sarcastic"), at("labels", "invalid").alias("invalid"), at("has_emoji", "null").alias("emoji_null"), at("reasons", "uncertain").alias("uncertain"))
+    r = S.routed_stats(_routed(s, d), table(s, d, "samples").count())
+    at = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0)).alias(f"{m}_{k}")
+    return r.select("total", "bad_count", "need_review", "auto_accepted", "review_rate", "auto_rate", *[at(m, v) for m, _, values in _STATS for v in values])
 
 
 @query(f"WITH {_LAST} SELECT v.value, count(x.id) AS n_rows FROM (VALUES ('sarcastic'), ('non_sarcastic'), ('invalid'), ('other')) v(value) LEFT JOIN x ON x.round1_label = v.value GROUP BY 1")
@@ -446,12 +488,12 @@ def resume_remaining(s, d):
 
 @query("SELECT id FROM samples WHERE id IN (SELECT id FROM judge_records)")
 def resume_cached(s, d):
-    return table(s, d, "samples").join(table(s, d, "judge_records").select("id"), "id", "left_semi").select("id")
+    return annotate.cached(table(s, d, "samples"), table(s, d, "judge_records")).select("id")
 
 
 @query("SELECT r.id, s.source, r.label_llm1 FROM judge_records r JOIN samples s USING (id)")
 def progress_rows(s, d):
-    return table(s, d, "judge_records").join(table(s, d, "samples"), "id").select("id", "source", "label_llm1")
+    return annotate.progress(table(s, d, "judge_records"), table(s, d, "samples")).select("id", "source", "label_llm1")
 
 
 _TEMPLATE = "Text: {text}\nImages: {images}\nOCR: {ocr_text}"
@@ -544,9 +586,9 @@ def llm_only_ids(s, d):
 _VOTES = "v AS (SELECT inner_id, label_human AS y FROM rater_labels WHERE label_human IN (0, 1))"
 
 
-@query(f"""WITH {_VOTES}, p AS (SELECT inner_id, count(*)::DOUBLE AS r, sum(y)::DOUBLE AS k FROM v GROUP BY 1), m AS (SELECT r FROM p WHERE r >= 2 GROUP BY 1 ORDER BY count(*) DESC, r LIMIT 1),
-g AS (SELECT count(*) AS n_items, max(r)::INT AS n_raters, avg((k * k + (r - k) * (r - k) - r) / (r * (r - 1))) AS po, sum(k) / sum(r) AS p1 FROM p WHERE r = (SELECT r FROM m))
-SELECT n_items, n_raters, round((po - (p1 * p1 + (1 - p1) * (1 - p1))) / (1 - (p1 * p1 + (1 - p1) * (1 - p1))), 6) AS kappa FROM g""")
+@query(f"""WITH {_VOTES}, p AS (SELECT inner_id, count(*)::DOUBLE AS r, sum(y)::DOUBLE AS k FROM v GROUP BY 1 HAVING count(*) >= 2),
+g AS (SELECT r::INT AS n_raters, count(*) AS n_items, avg((k * k + (r - k) * (r - k) - r) / (r * (r - 1))) AS po, sum(k) / sum(r) AS p1 FROM p GROUP BY r), e AS (SELECT *, p1 * p1 + (1 - p1) * (1 - p1) AS pe FROM g)
+SELECT n_raters, n_items, CASE WHEN pe >= 1 THEN 1.0 ELSE round((po - pe) / (1 - pe), 6) END AS kappa FROM e""")
 def fleiss_kappa(s, d):
     return A.fleiss(table(s, d, "rater_labels"), "inner_id", "label_human", [0, 1])
 
@@ -562,8 +604,7 @@ def kappa_band(s, d):
 
 @query("SELECT annotator, count(*) FILTER (label_human = 1) AS ones, count(*) FILTER (label_human = 0) AS zeros, count(*) FILTER (label_human IS NULL OR label_human NOT IN (0, 1)) AS others FROM rater_labels GROUP BY 1")
 def labels_per_annotator(s, d):
-    y = F.col("label_human")
-    return table(s, d, "rater_labels").groupBy("annotator").agg(F.count_if(y == 1).alias("ones"), F.count_if(y == 0).alias("zeros"), F.count_if(y.isNull() | ~y.isin(0, 1)).alias("others"))
+    return A.labels_per_annotator(table(s, d, "rater_labels"))
 
 
 _THREE = f"""{_HUMAN}, {_JUDGE}, a AS (SELECT inner_id AS k, label FROM human), b AS (SELECT inner_id AS k, max(label_human) AS label FROM rater_labels WHERE label_human IN (0, 1) OR label_human IS NULL GROUP BY 1),
@@ -580,6 +621,77 @@ def iaa_three_way(s, d):
     return A.three_way(a, b, c, "k")
 
 
+_BY_TEXT = f"""{_HUMAN},
+ha AS (SELECT {q_strip('data.text')} AS k, ys[1] AS label, id FROM ch JOIN label_tasks USING (id) WHERE {q_strip('data.text')} <> ''), a AS (SELECT k, label FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id) AS r FROM ha) WHERE r = 1),
+jt AS (SELECT {q_strip('s.text')} AS k, CASE WHEN label_llm1 <> 'INVALID' THEN try_cast(label_llm1 AS INT) END AS label, id, coalesce(label_llm1, '') AS o1, coalesce(notes, '') AS o2 FROM judge_records JOIN samples s USING (id) WHERE {q_strip('s.text')} <> ''),
+c AS (SELECT k, label FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY id, o1, o2) AS r FROM jt) WHERE r = 1),
+b AS (SELECT {q_strip('s.text')} AS k, max(label_human) AS label FROM rater_labels l JOIN samples s ON s.id = l.llm_id WHERE {q_strip('s.text')} <> '' AND (label_human IN (0, 1) OR label_human IS NULL) GROUP BY 1),
+t AS (SELECT coalesce(a.k, b.k, c.k) AS text, a.label AS x, b.label AS y, c.label AS z, CASE WHEN a.k IS NULL THEN 'annotator_1' WHEN b.k IS NULL THEN 'annotator_2' WHEN c.k IS NULL THEN 'llm' END AS missing
+  FROM a FULL JOIN b ON a.k = b.k FULL JOIN c ON c.k = coalesce(a.k, b.k)), w AS (SELECT * FROM t WHERE missing IS NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL)"""
+
+
+def _by_text(s, d):
+    posts = table(s, d, "samples").select("id", "text")
+    first = A.human_by_text(table(s, d, "label_tasks")).select(F.col("key").alias("text"), "label")
+    labels = table(s, d, "rater_labels").where("label_human IN (0, 1) OR label_human IS NULL").join(posts.withColumnRenamed("id", "llm_id"), "llm_id").withColumn("text", X.blank_to_null(X.strip(F.col("text"))))
+    second = labels.where("text IS NOT NULL").groupBy("text").agg(F.max("label_human").alias("label"))
+    order = F.struct("id", F.coalesce("label_llm1", F.lit("")), F.coalesce("notes", F.lit("")))
+    judge = A.judge_by_text(table(s, d, "judge_records").join(posts, "id").withColumn("o", order), "o").select(F.col("key").alias("text"), "label")
+    return A.three_way(first, second, judge)
+
+
+@query(f"WITH {_BY_TEXT} SELECT k AS key, label FROM a")
+def human_by_text(s, d):
+    return A.human_by_text(table(s, d, "label_tasks")).select("key", "label")
+
+
+@query(f"WITH {_BY_TEXT} SELECT k AS key, label FROM c")
+def judge_by_text(s, d):
+    order = F.struct("id", F.coalesce("label_llm1", F.lit("")), F.coalesce("notes", F.lit("")))
+    return A.judge_by_text(table(s, d, "judge_records").join(table(s, d, "samples").select("id", "text"), "id").withColumn("o", order), "o").select("key", "label")
+
+
+@query(f"""WITH {_BY_TEXT}, f AS (SELECT avg(((x + y + z) ** 2 + (3 - x - y - z) ** 2 - 3) / 6.0) AS po, avg(x + y + z) / 3.0 AS p1 FROM w), e AS (SELECT *, p1 * p1 + (1 - p1) * (1 - p1) AS pe FROM f),
+n AS (SELECT count(*) AS n_valid, count(*) FILTER (x = y AND y = z) AS n_all_agree, {', '.join(f"count(*) FILTER ({c} = {v}) AS {k}_{m}" for k, c in (("first", "x"), ("second", "y"), ("llm", "z")) for v, m in ((1, "sarcastic"), (0, "not_sarcastic")))} FROM w),
+u AS (SELECT count(*) AS n_union, count(*) FILTER (missing IS NULL) AS n_all_present, {', '.join(f"count(*) FILTER (missing = '{m}') AS missing_{m}" for m in ("annotator_1", "annotator_2", "llm"))},
+  {', '.join(f"count(*) FILTER (missing IS NULL AND {c} IS NULL) AS invalid_{k}" for k, c in (("1", "x"), ("2", "y"), ("llm", "z")))} FROM t), q AS (SELECT CASE WHEN pe >= 1 THEN 1.0 ELSE round((po - pe) / (1 - pe), 4) END AS k FROM e)
+SELECT u.*, n.*, n_valid - n_all_agree AS n_any_conflict, round(100.0 * n_all_agree / n_valid, 2) AS all_agree_pct, k AS fleiss_kappa, {_BAND} AS fleiss_band FROM u, n, q""")
+def iaa_three_way_report(s, d):
+    return A.three_way_report(_by_text(s, d))
+
+
+@query(f"""WITH {_BY_TEXT}, p AS (SELECT '1' AS a, '2' AS b, x AS p, y AS q FROM w UNION ALL SELECT '1', 'llm', x, z FROM w UNION ALL SELECT '2', 'llm', y, z FROM w)
+SELECT a, b, count(*) AS n, count(*) FILTER (p = q) AS agree, count(*) FILTER (p = 1 AND q = 1) AS tp, count(*) FILTER (p = 0 AND q = 0) AS tn, count(*) FILTER (p = 0 AND q = 1) AS fp, count(*) FILTER (p = 1 AND q = 0) AS fn FROM p GROUP BY 1, 2""")
+def iaa_pairwise(s, d):
+    return A.pairwise(_by_text(s, d)).select("a", "b", "n", "agree", "tp", "tn", "fp", "fn")
+
+
+@query(f"""WITH {_BY_TEXT} SELECT 'missing_' || missing AS reason, text[1:60] AS key FROM t WHERE missing IS NOT NULL UNION ALL SELECT 'invalid_1', text[1:60] FROM t WHERE missing IS NULL AND x IS NULL
+UNION ALL SELECT 'invalid_2', text[1:60] FROM t WHERE missing IS NULL AND y IS NULL UNION ALL SELECT 'invalid_llm', text[1:60] FROM t WHERE missing IS NULL AND z IS NULL""")
+def iaa_skipped(s, d):
+    return A.skipped(_by_text(s, d))
+
+
+@query(f"WITH {_BY_TEXT} SELECT text, x AS label_1, y AS label_2, z AS label_llm FROM w WHERE x <> y")
+def iaa_conflicts(s, d):
+    return A.conflicts(_by_text(s, d)).select("text", "label_1", "label_2", "label_llm")
+
+
+@query("SELECT id, inner_id FROM label_tasks WHERE len(annotations) > 0")
+def only_annotated(s, d):
+    return A.annotated(table(s, d, "label_tasks")).select("id", "inner_id")
+
+
+@query("SELECT count(*) AS n_tasks, count(*) FILTER (len(annotations) > 0) AS n_annotated FROM label_tasks")
+def export_counts(s, d):
+    return A.export_counts(table(s, d, "label_tasks"))
+
+
+@query("SELECT id, strftime(received_at, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM incoming_posts")
+def utc_stamp(s, d):
+    return table(s, d, "incoming_posts").select("id", J.utc_stamp(F.col("received_at")).alias("stamp"))
+
+
 # ---- incremental
 
 @query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")

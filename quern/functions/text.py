@@ -94,6 +94,7 @@ def halve_repeated(c: Column, least: int = 0) -> Column:
 
 def clean_caption(c: Column) -> Column:
     """A group post's caption: halved if doubled, without spaced letters, domains and long codes, collapsed."""
+    # The three patterns, single letters set apart, domains, long codes.
     c = halve_repeated(c, 20)
     c = F.regexp_replace(c, r"(?:\b[a-zA-Z0-9]\s){2,}[a-zA-Z0-9]\b", "")
     c = F.regexp_replace(c, r"\S+\.[a-z]{2,4}\b", "")
@@ -101,6 +102,19 @@ def clean_caption(c: Column) -> Column:
     return collapse(c)
 
 
+def clean_facebook(c: Column) -> Column:
+    """A scraped page post: without a repeated block of lines at its end, halved if doubled; null if nothing is left."""
+    once = strip(F.array_join(drop_repeated_tail(F.split(strip(c), "\n")), "\n"))
+    return F.when(strip(c) != "", blank_to_null(halve_repeated(once)))
+
+
+def word_grams(c: Column, k: int = 3) -> Column:
+    """The distinct runs of k words of a text whose words are parted by single blanks; a shorter text is one run."""
+    w = F.split(c, " ")
+    runs = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.array_join(F.slice(w, i + 1, k), " "))
+    return F.when((F.size(w) < k) | (c == ""), F.array(c)).otherwise(F.array_distinct(runs))
+
+
 def image_id(url: Column) -> Column:
     """The long number in a CDN address, else the address."""
     found = F.regexp_extract(url, r"/([0-9]{9,})[_.]", 1)

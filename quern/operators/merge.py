@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import blank_to_null, clean_threads, file_name, post_image_name
+from quern.functions.text import blank_to_null, clean_threads, file_name, image_id, post_image_name
 from quern.operators.dedup import first_by, numbered
 from quern.session import stored
 
@@ -102,7 +102,11 @@ def leftover_ids(listing: DataFrame) -> DataFrame:
     return listing.select(F.regexp_extract(name, r"^tmp_(\d+)\.[^.]{3,}$", 1).try_cast("bigint").alias("id"), "path").where("id is not null")
 
 
-def feed_rows(posts: DataFrame, least_text: int, least_side: int = 250) -> DataFrame:
-    """Scraped candidates to keep: no data address, text of some length, a picture large enough, no video."""
+def feed_rows(posts: DataFrame, least_text: int, least_side: int = 250, seen: DataFrame | None = None) -> DataFrame:
+    """Scraped candidates to keep: no data address, text of some length, a picture large enough, no video; one row (the first id) of each image id that ``seen``(image_id) doesn't have."""
     ok = ~F.col("image_url").startswith("data:") & (F.length("text") >= least_text) & (F.col("width") >= least_side) & (F.col("height") >= least_side) & ~F.coalesce(F.col("is_video"), F.lit(False))
-    return posts.where(ok)
+    kept = posts.where(ok)
+    if seen is None:
+        return kept
+    d = kept.withColumn("__i", image_id(F.col("image_url"))).join(seen.select(F.col("image_id").alias("__i")).distinct(), "__i", "left_anti")
+    return first_by(d, "__i", "id").drop("__i").select(*posts.columns)

@@ -36,6 +36,32 @@ def judged(records: DataFrame, judge: Judge = rule_judge) -> DataFrame:
     return records.mapInPandas(run, "id bigint, raw1 string, raw2 string")
 
 
+_loaded: dict[str, object] = {}
+
+
+def loaded(name: str, load: Callable[[], object]) -> object:
+    """What ``load`` gives, made once in each worker process; another name takes its place."""
+    if name not in _loaded:
+        _loaded.clear()
+        _loaded[name] = load()
+    return _loaded[name]
+
+
+def judged_by(records: DataFrame, name: str, load: Callable[[], Judge]) -> DataFrame:
+    """``judged`` by a model that each worker loads once, when its first batch comes."""
+    return judged(records, lambda b: loaded(name, load)(b))
+
+
+def cached(records: DataFrame, done: DataFrame) -> DataFrame:
+    """Records that a checkpoint has."""
+    return records.join(done.select("id").distinct(), "id", "left_semi")
+
+
+def progress(results: DataFrame, records: DataFrame) -> DataFrame:
+    """Results beside what is known of their records, for the progress log."""
+    return results.join(records, "id")
+
+
 def remaining(records: DataFrame, done: DataFrame) -> DataFrame:
     """Records that a checkpoint doesn't have yet."""
     return records.join(done.select("id").distinct(), "id", "left_anti")

@@ -15,6 +15,11 @@ def null_marked(df: DataFrame) -> DataFrame:
     return df.withColumn("is_kept", blank_to_null(F.col("text")).isNotNull() & blank_to_null(F.col("image_path")).isNotNull())
 
 
+def with_files(df: DataFrame, listing: DataFrame, path: str = "path") -> DataFrame:
+    """Rows whose path is in the listing."""
+    return df.join(listing.select(F.col("path").alias(path)).distinct(), path, "left_semi").select(*df.columns)
+
+
 def staged(df: DataFrame, listing: DataFrame | None = None, near: bool = True, threshold: float = 0.85) -> DataFrame:
     """``df`` and drop_stage: null, image, exact or near, or null for rows that stay. Cheap stages come first; each sees only what is left."""
     d = null_marked(df)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +22,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def is_array_file(spark: SparkSession, path: str) -> bool:
-    """Whether the first character that isn't blank opens a JSON array; one line or so is read."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0]["value"].lstrip("﻿ \t").startswith("[")
+    """Whether the first character that isn't blank opens a JSON array; only the first bytes are read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [x.getPath() for s in fs.globStatus(p) for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    for f in files:
+        stream = fs.open(f)
+        try:
+            while head := bytes(stream.readNBytes(1 << 12)):
+                if text := head.decode("utf-8", "ignore").lstrip("\ufeff \t\r\n"):
+                    return text.startswith("[")
+        finally:
+            stream.close()
+    return False
 
 
 def json_array(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -101,11 +113,68 @@ def resolved(records: DataFrame, listing: DataFrame, roots: list[str]) -> DataFr
     return per.groupBy("id").agg(F.min(F.when(F.col("h").isNotNull(), F.struct("p", "h.path")))["path"].alias("path"), F.count_if(F.col("h").isNull()).alias("n_missing"))
 
 
+_MAGIC = {b"\xff\xd8\xff", b"\x89PNG", b"RIFF", b"GIF8"}
+
+
+def opens(content: Column) -> Column:
+    """Whether bytes begin as a JPEG, PNG, WebP or GIF file does; pixels aren't decoded."""
+    return F.coalesce(F.greatest(*[content.substr(1, len(m)) == F.lit(bytearray(m)) for m in sorted(_MAGIC)]), F.lit(False))
+
+
+def loaded_images(records: DataFrame, listing: DataFrame, roots: list[str], sees_images: bool = True) -> DataFrame:
+    """(id, images, image_missing) of ``records``(id, image_path, image_paths): the first place under the roots of each image that is there, in order.
+
+    image_missing: images are named, the model looks at images, and none is
+    there. ``listing``(path[, opens]): an image that doesn't open counts as absent.
+    """
+    named = F.when(F.size("image_paths") > 0, F.col("image_paths")).when(F.trim("image_path") != "", F.array("image_path"))
+    d = records.select("id", named.alias("named"))
+    if not sees_images:
+        return d.select("id", F.array().cast("array<string>").alias("images"), F.lit(False).alias("image_missing"))
+    places = lambda n: F.when(n.startswith("/"), F.array(n)).otherwise(F.array(*[F.concat(F.lit(r), n) for r in roots]))
+    e = d.where("named is not null").select("id", F.posexplode("named").alias("p", "name")).select("id", "p", F.posexplode(places(F.col("name"))).alias("k", "path"))
+    there = listing.where("opens") if "opens" in listing.columns else listing
+    hit = e.join(there.select("path").distinct(), "path").groupBy("id", "p").agg(F.min(F.struct("k", "path"))["path"].alias("path"))
+    per = hit.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "path"))), lambda x: x["path"]).alias("images"))
+    out = d.join(per, "id", "left")
+    return out.select("id", F.coalesce("images", F.array().cast("array<string>")).alias("images"), (F.col("named").isNotNull() & F.col("images").isNull()).alias("image_missing"))
+
+
+def prompt_template(prompt: str, examples: str | None = None) -> str:
+    """The prompt's text and, where there is such a file, the examples after an empty line."""
+    with open(prompt, encoding="utf-8") as f:
+        text = f.read()
+    if examples and os.path.exists(examples):
+        with open(examples, encoding="utf-8") as f:
+            text = text.rstrip() + "\n\n" + f.read().lstrip()
+    return text
+
+
+def yaml_settings(path: str) -> dict:
+    """The scalars of a flat YAML file."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        import yaml
+
+        return yaml.safe_load(text) or {}
+    except ImportError:
+        out = {}
+        for line in text.splitlines():
+            if m := re.match(r"([A-Za-z_]\w*)\s*:\s*(.*?)\s*(?:#.*)?$", line):
+                raw = m[2]
+                try:
+                    out[m[1]] = {"true": True, "false": False, "null": None, "": None}[raw.lower()] if raw.lower() in ("true", "false", "null", "") else float(raw) if "." in raw else int(raw)
+                except ValueError:
+                    out[m[1]] = raw.strip("\"'")
+        return out
+
+
 @dataclass(frozen=True)
 class RoundConfig:
     """Settings of an annotation round."""
 
-    random_audit_rate: float = 0.05
+    random_audit_rate: float = 0.10
     seed: int = 42
     batch_size: int = 8
     min_record_id: int | None = None

@@ -214,3 +214,33 @@ def test_preprocess_full_runs_all_stages(spark, tmp_path):
     got = QUERIES["preprocess_full"](spark, str(tmp_path)).collect()
     assert sorted((r.old_id, r.id) for r in got) == [(i, k) for k, (i, _) in enumerate(kept, 1)]
     assert "preprocess_full" not in __spark_entry__.oracle_sql() and "preprocess_full" in __spark_entry__.entry.__code__.co_consts
+
+
+def test_three_way_report(spark):
+    rows = lambda r: spark.createDataFrame(r, "text string, label int")
+    a = rows([("a", 1), ("b", 0), ("c", 1), ("d", None), ("e" * 80, 1), ("f", 1)])
+    b = rows([("a", 1), ("b", 0), ("c", 0), ("d", 1), ("f", None)])
+    c = rows([("a", 1), ("b", 0), ("c", 1), ("d", None), ("f", 0), ("g", 1)])
+    t = A.three_way(a, b, c)
+    r = A.three_way_report(t).first()
+    assert (r.n_union, r.n_all_present, r.n_valid, r.n_all_agree, r.n_any_conflict, r.all_agree_pct) == (7, 5, 3, 2, 1, 66.67)
+    assert (r.missing_annotator_1, r.missing_annotator_2, r.missing_llm, r.invalid_1, r.invalid_2, r.invalid_llm) == (1, 1, 0, 1, 1, 1)
+    p1 = 5 / 9
+    pe = p1 * p1 + (1 - p1) ** 2
+    assert r.fleiss_kappa == round(((1 + 1 + 1 / 3) / 3 - pe) / (1 - pe), 4)
+    assert sorted((x.reason, x.key) for x in A.skipped(t).collect()) == [("invalid_1", "d"), ("invalid_2", "f"), ("invalid_llm", "d"), ("missing_annotator_1", "g"), ("missing_annotator_2", "e" * 60)]
+    assert [x.text for x in A.conflicts(t).collect()] == ["c"] and {(x.a, x.b): x.agree for x in A.pairwise(t).collect()} == {("1", "2"): 2, ("1", "llm"): 3, ("2", "llm"): 2}
+    import json
+
+    said = json.loads(A.nested_report(A.three_way_report(t), A.pairwise(t), A.three_way_report(t).select("n_valid", "n_all_agree"), A.skipped(t)).first().report)
+    assert said["skipped"]["invalid_llm"] == ["d"] and said["agreement"] == {"n_valid": 3, "n_all_agree": 2} and len(said["pairwise"]) == 3
+    none = A.three_way_report(t.limit(0)).first()
+    assert none.n_union == 0 and math.isnan(none.fleiss_kappa) and none.all_agree_pct is None and none.fleiss_band == "undefined"
+
+
+def test_feed_rows(spark):
+    rows = [(1, "https://x/123456789_n.jpg", "một bài dài", 300, 300, None), (2, "https://y/123456789_n.jpg", "một bài dài", 300, 300, False), (3, "data:image", "một bài dài", 300, 300, False), (4, "https://x/223456789_n.jpg", "một bài dài", 300, 300, False), (5, "https://x/5.jpg", "ngắn", 300, 300, False), (6, "https://x/6.jpg", "một bài dài", 100, 300, False), (7, "https://x/7.jpg", "một bài dài", 300, 300, True)]
+    posts = spark.createDataFrame(rows, "id bigint, image_url string, text string, width int, height int, is_video boolean")
+    seen = spark.createDataFrame([("223456789",)], "image_id string")
+    assert sorted(r.id for r in M.feed_rows(posts, 8).collect()) == [1, 2, 4]
+    assert sorted(r.id for r in M.feed_rows(posts, 8, seen=seen).collect()) == [1]

@@ -46,3 +46,13 @@ def test_halves_and_names(spark):
 def test_normal_form(spark):
     nfd = unicodedata.normalize("NFD", "Tiếng  Việt  ")
     assert one(spark, nfd, X.normalized) == "tiếng việt"
+
+
+def test_facebook_posts(spark):
+    clean = lambda v: one(spark, v, X.clean_facebook)
+    assert clean(None) is None and clean(" \n ") is None
+    assert clean(" a\nb\na\nb ") == "a\nb" and clean("câu A câu A") == "câu A" and clean("x\ny") == "x\ny"
+
+
+def test_word_grams(spark):
+    assert one(spark, "a b c a b c", X.word_grams) == ["a b c", "b c a", "c a b"] and one(spark, "a b", X.word_grams) == ["a b"] and one(spark, "", X.word_grams) == [""]
