@@ -15,7 +15,7 @@ PII_TEXTS = [
 
 @pytest.fixture(scope="module")
 def pii_model():
-    return pii.train(PII_TEXTS * 6)
+    return pii.train(PII_TEXTS * 6, rounds=30)
 
 
 def test_pii(spark, pii_model, monkeypatch):
@@ -197,3 +197,12 @@ def test_quality_tells_repetition_at_any_length(spark):
     assert [got[i].kind for i in (7, 8)] == ["prose"] * 2
     assert got[6].repeated_runs > 0.5 and got[8].repeated_bigrams == got[8].repeated_runs == 0
     assert got[9].repeated_bigrams == 0.5 and got[9].n_words == 5  # of ab, ba, ab, bc
+
+
+def test_quick_look_misses_no_text():
+    rng = random.Random(4)
+    bits = ["0912", "345", " ", ".", "-", "(", ")", "không", "một", "hai", "a", "còng", "@", "at", "[", "]", "nhà", "số", "12", "đường", "phố", "Nguyễn", "Hoa", "nguyen", "lan", "​", "\n", "x", "yz", "7", "o957478194", "B1234567", "，", "0️⃣"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 14)))
+        if len(pii.Document(t).nodes()):
+            assert pii.may_have_nodes(t), t
