@@ -87,31 +87,39 @@ def _near(left: str, right: str, gap: int) -> str:
     return rf"\b(?:{left}){_MORE % gap} (?:{right})\b"
 
 
-#: Voters for unsafe: what they look for in the plain form, and words of which one must be there (to look at all).
+def _firsts(phrases: str) -> str:
+    return " ".join(dict.fromkeys(x.split()[0] for x in phrases.split("|")))
+
+
+def _lasts(phrases: str) -> str:
+    return " ".join(dict.fromkeys(x.split()[-1] for x in phrases.split("|")))
+
+
+#: Voters for unsafe: what they look for in the plain form, and sets of words (parted by |) of each of which one must be there, to look at all.
 UNSAFE: dict[str, tuple[str, str]] = {
-    "vile_person": (rf"\b(?:{_KIND}) (?:{_VILE})\b(?! thoai| tu| tich| may| nuoi)", "do thang con lu bon quan loai tui dam e phuong"),
-    "vile_word": (rf"\b(?:{_STRONG})\b(?! nuoi)", "hoc dot nan kiep dat vat sinh ruoi lon cho heo hai ma dai tien cap di diem day"),
+    "vile_person": (rf"\b(?:{_KIND}) (?:{_VILE})\b(?! thoai| tu| tich| may| nuoi)", f"{_firsts(_KIND)}|{_firsts(_VILE)}|{_lasts(_VILE)}"),
+    "vile_word": (rf"\b(?:{_STRONG})\b(?! nuoi)", f"{_firsts(_STRONG)}|{_lasts(_STRONG)}"),
     "ngu": (r"\b(?:lu|bon|thang|do|qua|sao|dung la|toan|vua) ngu\b(?! di| roi| ngon| ngay| truong| trua| muon| lai| chut| som)|\bngu (?:nhu|vl|vai|qua|the|ve|lam|bm|bo)\b", "ngu"),
-    "you_are": (rf"\b(?:{_YOU}) (?:dung |chi |cung |qua |van )*(?:la|nhu|are) (?!ai\b|gi\b)(?:do|thang|con|lu|loai|cai|mot|thu|worthles|a|so|mat|oc|an)\b", "may mai m mi bay you"),
-    "like_you": (rf"\b(?:mat|ban mat|cai mat|loai|thu|hang)(?: nhu)? (?:{_YOU})\b|\b(?:ra|de ra|day) (?:{_YOU})\b|\b(?:cua|voi) (?:{_YOU}) (?:chi|toan|ma|di)\b", "may mai m mi bay"),
-    "parents": (r"\b(?:bo|bu|cha|me|ong|ba|thay) (?:me |bo )?(?:may|mai|no|tui may)\b|\b(?:de ra|sinh ra)" + _MORE % 3 + r" (?:phi|uong|ngu|nhuc|de)\b|\bngu ve\b|\b(?:day|nuoi|thay) (?:\w+ ){0,3}(?:bu me|bo me|me cha)\b", "may mai no ra ngu bu bo me"),
-    "shut_up": (r"\b(?:cam|ngam|khep|bit|khoa|ngam cai|mo)" + _MORE % 1 + r" (?:mom|mieng|hong)\b|\b(?:cut|kut|xeo|bien) (?:di|ve|khoi|ngay|xeo|mau)\b|\bim (?:di|mom|mieng|ngay)\b|\bshut (?:up|your|the)\b|\bget (?:lost|out)\b|\bfuck of\b", "mom mieng hong cut kut xeo bien im shut get fuck"),
-    "silence_who": (_near("ai hoi|ai cho|ai khien|ai muon|mien", "len tieng|noi|ma noi|xen", 3), "hoi cho khien mien muon"),
-    "violence": (rf"\b(?:{_I}) (?:\w+ ){{0,3}}(?:{_HIT})\b|\b(?:{_HIT}) (?:vo |chet |nat |gay )+(?:mat|mom|rang|xuong|{_YOU})\b|\b(?:{_HIT}) (?:{_YOU})\b", _HIT.replace("|", " ")),
-    "threat": (rf"\b(?:biet tay|biet nha|biet mat|dung thach|dung trach|coi chung|chet voi|toi so|xong doi|quan tai|tim (?:toi|den) nha|toi (?:dot|pha|dap|tan nha)|gap (?:{_I})|(?:{_I}) (?:\w+ ){{0,3}}(?:toi nha|quan tai|biet))\b|\bngoai duong\b.{{0,20}}\bxe\b", "tay nha mat thach trach chung chet so xong tai tim toi gap tao tau t duong"),
-    "death_wish": (r"\b(?:nen|di|cho|ma|cu|thi|uoc|sao khong|ra duong)" + _MORE % 2 + r" (?:chet|nhay cau|tu tu|tu sat|nhay lau|bi xe|bi danh|die|kil)\b|\bchet (?:quach|di|doi|het|mat|giam|co)\b|\b(?:kil|hang) (?:yourself|urself)\b|\bgo die\b", "chet cau tu lau xe danh die kil hang yourself"),
-    "group_low": (_near(_PEOPLE, _LOW, 6), "lu bon dam tui dan ong ba ke dua al those"),
-    "low_group": (_near(f"{_LOW}|ghet|khinh|cay|dung thue|dung noi|dung choi|cam cua|tay chay|uoc gi|cu thay|cu gap|dinh toi", _PEOPLE, 4), "lu bon dam tui dan ong ba ke dua al those"),
-    "expel": (r"\b(?:duoi|nhot|tong|cam cua|tieu diet|bien mat|quet sach|kick|deport)" + _MORE % 3 + r" (?:het|khoi|ve nuoc|out|lai)\b", "duoi nhot tong cam diet mat sach kick deport"),
-    "beasts": (rf"\b(?:la|nhu|toan|lu|loai|giong|are|you|di|al|hon|dung la) (?:\w+ ){{0,2}}(?:{_BEASTS})\b", "bo vat sinh dang ruoi vermin scum trash garbage nhang cai"),
-    "inferior": (r"\b(?:sinh ra|sinh|de)" + _MORE % 2 + r" (?:hau|phuc vu|lam no|de hau)\b|\bkhong (?:xung|dang) (?:lam|song|la)\b|\b(?:doi|bay dat)" + _MORE % 2 + r" (?:binh dang|quyen|bang vai)\b|\bbang vai\b", "hau no xung dang quyen vai"),
-    "useless": (r"\b(?:ton (?:com|oxy|dat|gao)|phi (?:com|cong|gao)|chi ton|vo dung|vo tich su|co ich|an hai|chi biet an|worthles|useles|nobody wants)\b|\b(?:uong|la) phi\b|\bnuoi" + _MORE % 3 + r" (?:ich|hon)\b|\bnao (?:de|khong|cua)\b", "ton phi ton vo ich hai an worthles useles nobody uong la nuoi nao"),
-    "disdain": (r"\b(?:khinh|nhuc nha|kinh tom|ngua mat|ghe tom|thoi nat|ma cung (?:viet|noi|doi|dang|choi)|ma doi)\b|\bcai mat nhu\b|\bnhu cai\b", "khinh nhuc tom ngua thoi cung doi mat nhu"),
-    "sex_word": (rf"\b(?:{_SEX})\b", _SEX.replace("|", " ").replace("x{2,}", "x x xx xxx x")),
-    "sex_body": (r"\b(?:nguc|mong|vu|dui)" + _MORE % 1 + r" (?:to|khung|cong|bu|tron)\b", "nguc mong vu dui"),
-    "sex_want": (r"\b(?:them|muon|day|coi|xem|gui|share|send|quay|chat)" + _MORE % 4 + r" (?:lam tinh|nudes?|vu|clip|sex|phang|x|nhay|anh sung|cho xem|de ra|vao le)\b", "tinh nude nudes vu clip sex phang x nhay sung xem de le"),
-    "price_night": (r"\b(?:\w+ )?(?:mot|1|qua|ca) dem\b|\b(?:tau nhanh|di khach|bao phe|phuc vu|tan giuong|massage|hang ngon|gai ngon)\b", "dem nhanh khach phe vu giuong massage ngon"),
-    "contact": (r"\b(?:ib|inbox|nhan|zalo|link|share|gui|qua phong|qua nha|vao le)" + _MORE % 4 + r" (?:clip|nudes?|khong che|cmt|nong)\b|\bai (?:qua phong|ranh nghe|muon xem)\b", "ib inbox nhan zalo link share gui phong nha le ai"),
+    "you_are": (rf"\b(?:{_YOU}) (?:dung |chi |cung |qua |van )*(?:la|nhu|are) (?!ai\b|gi\b)(?:do|thang|con|lu|loai|cai|mot|thu|worthles|a|so|mat|oc|an)\b", "may mai m mi bay you|la nhu are|do thang con lu loai cai mot thu worthles a so mat oc an"),
+    "like_you": (rf"\b(?:mat|ban mat|cai mat|loai|thu|hang)(?: nhu)? (?:{_YOU})\b|\b(?:ra|de ra|day) (?:{_YOU})\b|\b(?:cua|voi) (?:{_YOU}) (?:chi|toan|ma|di)\b", "may mai m mi bay|mat loai thu hang ra day cua voi"),
+    "parents": (r"\b(?:bo|bu|cha|me|ong|ba|thay) (?:me |bo )?(?:may|mai|no|tui may)\b|\b(?:de ra|sinh ra)" + _MORE % 3 + r" (?:phi|uong|ngu|nhuc|de)\b|\bngu ve\b|\b(?:day|nuoi|thay) (?:\w+ ){0,3}(?:bu me|bo me|me cha)\b", "bo bu cha me ong ba thay de ra sinh ngu day nuoi|may mai no phi uong ngu nhuc de ve bu bo cha"),
+    "shut_up": (r"\b(?:cam|ngam|khep|bit|khoa|ngam cai|mo)" + _MORE % 1 + r" (?:mom|mieng|hong)\b|\b(?:cut|kut|xeo|bien) (?:di|ve|khoi|ngay|xeo|mau)\b|\bim (?:di|mom|mieng|ngay)\b|\bshut (?:up|your|the)\b|\bget (?:lost|out)\b|\bfuck of\b", "mom mieng hong cut kut xeo bien im shut get fuck|cam ngam khep bit khoa mo di ve khoi ngay xeo mau mom mieng up your the lost out of"),
+    "silence_who": (_near("ai hoi|ai cho|ai khien|ai muon|mien", "len tieng|noi|ma noi|xen", 3), "hoi cho khien muon mien|tieng noi xen"),
+    "violence": (rf"\b(?:{_I}) (?:\w+ ){{0,3}}(?:{_HIT})\b|\b(?:{_HIT}) (?:vo |chet |nat |gay )+(?:mat|mom|rang|xuong|{_YOU})\b|\b(?:{_HIT}) (?:{_YOU})\b", f"{_HIT.replace('|', ' ')}|tao tau t bo vo chet nat gay may mai m mi bay you"),
+    "threat": (rf"\b(?:biet tay|biet nha|biet mat|dung thach|dung trach|coi chung|chet voi|toi so|xong doi|quan tai|tim (?:toi|den) nha|toi (?:dot|pha|dap|tan nha)|gap (?:{_I})|(?:{_I}) (?:\w+ ){{0,3}}(?:toi nha|quan tai|biet))\b|\bngoai duong\b.{{0,20}}\bxe\b", "biet dung coi chet toi xong quan tim gap ngoai|tay nha mat thach trach chung voi so doi tai dot pha dap tao tau t biet duong chet"),
+    "death_wish": (r"\b(?:nen|di|cho|ma|cu|thi|uoc|sao khong|ra duong)" + _MORE % 2 + r" (?:chet|nhay cau|tu tu|tu sat|nhay lau|bi xe|bi danh|die|kil)\b|\bchet (?:quach|di|doi|het|mat|giam|co)\b|\b(?:kil|hang) (?:yourself|urself)\b|\bgo die\b", "chet nhay tu bi die kil hang|nen di cho ma cu thi uoc sao ra quach doi het mat giam co yourself urself go"),
+    "group_low": (_near(_PEOPLE, _LOW, 6), f"lu bon dam tui dan ong ba ke dua al those|{_firsts(_LOW)}|{_lasts(_LOW)}"),
+    "low_group": (_near(f"{_LOW}|ghet|khinh|cay|dung thue|dung noi|dung choi|cam cua|tay chay|uoc gi|cu thay|cu gap|dinh toi", _PEOPLE, 4), f"lu bon dam tui dan ong ba ke dua al those|{_firsts(_LOW)} ghet khinh cay dung cam tay uoc cu dinh"),
+    "expel": (r"\b(?:duoi|nhot|tong|cam cua|tieu diet|bien mat|quet sach|kick|deport)" + _MORE % 3 + r" (?:het|khoi|ve nuoc|out|lai)\b", "duoi nhot tong cam diet mat sach kick deport|het khoi nuoc out lai"),
+    "beasts": (rf"\b(?:la|nhu|toan|lu|loai|giong|are|you|di|al|hon|dung la) (?:\w+ ){{0,2}}(?:{_BEASTS})\b", f"{_firsts(_BEASTS)}|{_lasts(_BEASTS)}|la nhu toan lu loai giong are you di al hon"),
+    "inferior": (r"\b(?:sinh ra|sinh|de)" + _MORE % 2 + r" (?:hau|phuc vu|lam no|de hau)\b|\bkhong (?:xung|dang) (?:lam|song|la)\b|\b(?:doi|bay dat)" + _MORE % 2 + r" (?:binh dang|quyen|bang vai)\b|\bbang vai\b", "hau no xung dang quyen vai phuc|sinh de khong doi bay bang"),
+    "useless": (r"\b(?:ton (?:com|oxy|dat|gao)|phi (?:com|cong|gao)|chi ton|vo dung|vo tich su|co ich|an hai|chi biet an|worthles|useles|nobody wants)\b|\b(?:uong|la) phi\b|\bnuoi" + _MORE % 3 + r" (?:ich|hon)\b|\bnao (?:de|khong|cua)\b", "ton phi vo co hai an worthles useles nobody nuoi nao|com oxy dat gao cong chi dung su ich an worthles useles nobody la uong hon de khong cua"),
+    "disdain": (r"\b(?:khinh|nhuc nha|kinh tom|ngua mat|ghe tom|thoi nat|ma cung (?:viet|noi|doi|dang|choi)|ma doi)\b|\bcai mat nhu\b|\bnhu cai\b", "khinh nhuc kinh ngua ghe thoi ma cai|khinh nha tom mat nat cung doi mat nhu"),
+    "sex_word": (rf"\b(?:{_SEX})\b", f"{_firsts(_SEX)} xx xxx xxxx|{_lasts(_SEX)} xx xxx xxxx"),
+    "sex_body": (r"\b(?:nguc|mong|vu|dui)" + _MORE % 1 + r" (?:to|khung|cong|bu|tron)\b", "nguc mong vu dui|to khung cong bu tron"),
+    "sex_want": (r"\b(?:them|muon|day|coi|xem|gui|share|send|quay|chat)" + _MORE % 4 + r" (?:lam tinh|nudes?|vu|clip|sex|phang|x|nhay|anh sung|cho xem|de ra|vao le)\b", "them muon day coi xem gui share send quay chat|tinh nude nudes vu clip sex phang x nhay sung xem de le"),
+    "price_night": (r"\b(?:\w+ )?(?:mot|1|qua|ca) dem\b|\b(?:tau nhanh|di khach|bao phe|phuc vu|tan giuong|massage|hang ngon|gai ngon)\b", "mot 1 qua ca tau di bao phuc tan massage hang gai|dem nhanh khach phe vu giuong massage ngon"),
+    "contact": (r"\b(?:ib|inbox|nhan|zalo|link|share|gui|qua phong|qua nha|vao le)" + _MORE % 4 + r" (?:clip|nudes?|khong che|cmt|nong)\b|\bai (?:qua phong|ranh nghe|muon xem)\b", "ib inbox nhan zalo link share gui qua vao ai|clip nude nudes che cmt nong phong nghe xem"),
     "abuse_en": (r"\b(?:moron|idiot|stupid|dumb|filthy|bitch|whore|slut|bastard|ashole|fuck|cunt|retard|scum|trash|garbage|loser|worthles|nobody wants you|shut up|piece of)\b", "moron idiot stupid dumb filthy bitch whore slut bastard ashole fuck cunt retard scum trash garbage loser worthles nobody shut piece"),
 }
 #: Voters for safe.
@@ -125,8 +133,8 @@ SAFE: dict[str, tuple[str, str]] = {
 VOTERS = [*UNSAFE, *SAFE, "like_unsafe", "like_safe", "review"]
 
 
-def _compiled(voters: dict[str, tuple[str, str]]) -> list[tuple[re.Pattern[str], frozenset[str]]]:
-    return [(re.compile(p), frozenset(words.split())) for p, words in voters.values()]
+def _compiled(voters: dict[str, tuple[str, str]]) -> list[tuple[re.Pattern[str], list[frozenset[str]]]]:
+    return [(re.compile(p), [frozenset(x.split()) for x in words.split("|")]) for p, words in voters.values()]
 
 
 _UP, _DOWN = _compiled(UNSAFE), _compiled(SAFE)
@@ -135,8 +143,9 @@ _UP, _DOWN = _compiled(UNSAFE), _compiled(SAFE)
 def votes(plain_text: str, review: int | None, like: float = 0.5) -> list[int]:
     """1 unsafe, 0 safe, -1 abstains, in the order of VOTERS; like: what the model of the reviewed texts says."""
     there = set(plain_text.split())
-    up = [1 if not there.isdisjoint(w) and p.search(plain_text) else -1 for p, w in _UP]
-    down = [0 if not there.isdisjoint(w) and p.search(plain_text) else -1 for p, w in _DOWN]
+    apart = there.isdisjoint
+    up = [1 if not any(map(apart, w)) and p.search(plain_text) else -1 for p, w in _UP]
+    down = [0 if not any(map(apart, w)) and p.search(plain_text) else -1 for p, w in _DOWN]
     return [*up, *down, 1 if like > 0.5 else -1, 0 if like < 0.02 else -1, -1 if review is None else review]
 
 

@@ -143,16 +143,32 @@ def long_lists(e: DataFrame, hot: int) -> DataFrame:
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str], t: Fraction, more: int, turns: bool) -> DataFrame:
-    """(a, b, need[, same]) for each occurrence of a pair in a short list of both."""
-    extra = lambda c: [F.col("turn").alias(c)] if turns else []
-    x = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *extra("ta"))
-    y = right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *extra("tb"))
+    """(a, b, need[, same]) for each occurrence of a pair in a short list of both.
+
+    An entry is *near the front* if its list is short for a partner of at least
+    its record's size. Of two records the smaller one's entry is always near the
+    front, so entries that aren't needn't meet each other, and theirs are the
+    longest lists.
+    """
     up, down = t.numerator, t.numerator + t.denominator
-    need = f"int(((na + nb) * {up}L + {down - 1}) div {down})"
+    ceiling = lambda n: f"int((({n}) * {up}L + {down - 1}) div {down})"
+    front = F.expr(f"pos < n - {ceiling('n + n')} + least({1 + more}, {ceiling('n + n')})")
+    need = ceiling("na + nb")
     short = f"least({1 + more}, {need}) - {need}"
     ok = f"{need} <= least(na, nb) AND pa < na + {short} AND pb < nb + {short}"
-    both = x.join(y, on).where("(a < b OR ta < tb) AND a <> b" if turns else "a < b").where(ok)
-    return both.select("a", "b", F.expr(need).alias("need"), *([F.expr("ta = tb").alias("same")] if turns else []))
+    extra = lambda c: [F.col("turn").alias(c)] if turns else []
+
+    def met(x: DataFrame, y: DataFrame, apart: str) -> DataFrame:
+        x = x.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *extra("ta"))
+        y = y.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), *extra("tb"))
+        both = x.join(y, on).where(apart).where(ok)
+        return both.select("a", "b", F.expr(need).alias("need"), *([F.expr("ta = tb").alias("same")] if turns else []))
+
+    if turns:
+        apart = "(a < b OR ta < tb) AND a <> b"
+        return met(left, right.where(front), apart).unionAll(met(left.where(front), right.where(~front), apart))
+    rest = met(left.where(front), right.where(~front), "a <> b")
+    return met(left.where(front), right.where(front), "a < b").unionAll(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "need"))
 
 
 def merged(left: DataFrame, right: DataFrame, t: Fraction, more: int = MORE, turns: bool = False, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
