@@ -1,17 +1,21 @@
 """Text quality statistics and rules that tell prose from lists, tables and junk (problem 9).
 
-All statistics are Catalyst expressions over arrays of lines and words made once
-per document; a document is judged in the stage that scans it. No shuffle and
-no Python. Null texts give null statistics and are not prose; blank texts have
+Statistics are Catalyst expressions over arrays of lines and words made once per
+document; those of repetition are made of the words' array in one vectorised pass.
+A document is judged in the stage that scans it, without a shuffle. Null texts give null statistics and are not prose; blank texts have
 0 words and are neither prose nor a case.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.session import stored
 
@@ -65,42 +69,11 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     digits = F.length(F.regexp_replace("__t", r"[^\p{N}]+", ""))
     pictures = F.length(F.regexp_replace("__t", r"[^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{200D}]+", ""))
     alpha = F.filter("__words", lambda x: x.rlike(r"\p{L}"))
-    run_chars = F.aggregate("__words", F.lit(0), lambda a, x: a + F.length(x) + 1)
-
-    def runs(k: int, of: Callable[[Column], Column], kind: str) -> Column:
-        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: of(F.slice("__words", i, k)))).otherwise(F.array().cast(f"array<{kind}>"))
-
-    def longest_run(arr: Column) -> Column:
-        """How much of a sorted array its most frequent value takes."""
-        start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-        return F.aggregate(
-            F.sort_array(arr),
-            start,
-            lambda s, x: F.struct(x.alias("v"), F.when(x.eqNullSafe(s["v"]), s["run"] + 1).otherwise(1).alias("run"), F.greatest(s["most"], F.when(x.eqNullSafe(s["v"]), s["run"] + 1).otherwise(1)).alias("most")),
-            lambda s: s["most"],
-        )
-
-    def repeats(k: int) -> Column:
-        """Characters (with blanks) that the most frequent run of k words covers, and those in all runs, if they occur twice."""
-        start = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("all"))
-
-        def step(s: Column, x: Column) -> Column:
-            run = F.when(x.eqNullSafe(s["v"]), s["run"] + 1).otherwise(1)
-            more = F.when(run > 2, F.length(x)).when(run == 2, 2 * F.length(x)).otherwise(0)
-            return F.struct(x.alias("v"), run.alias("run"), F.greatest(s["most"], F.when(run > 1, run * F.length(x)).otherwise(0)).alias("most"), (s["all"] + more).alias("all"))
-
-        return F.aggregate(F.sort_array(runs(k, lambda w: F.array_join(w, " "), "string")), start, step, lambda s: F.struct(s["most"].alias("most"), s["all"].alias("all")))
-
-    longer = runs(5, F.xxhash64, "bigint")
-    stretches = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.floor((n - 1) / 400).cast("int")), F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice("__words", i * 400 + 1, 400))))).otherwise(0)
-    three = three.withColumns({f"__top{k}": repeats(k) for k in (2, 3, 4)} | {"__longer": longer, "__run_chars": run_chars})
-    top = lambda k: F.least(F.lit(1.0), share(F.col(f"__top{k}.most"), F.col("__run_chars")))
-    pair_chars = F.col("__run_chars") * 2 - F.length(F.get("__words", F.lit(0))) - F.length(F.get("__words", n - 1)) - n - 1
     coded = F.length("__t") - F.length(F.regexp_replace("__t", r"(?<!\S)(?!https?:|www\.|@)(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[0-9])\S{16,}", ""))
     left = F.length(F.regexp_replace(F.regexp_replace("__t", _CONTROLS, ""), r"[^\p{L}\p{N}]+", ""))
     times = lambda p: F.regexp_count("__t", F.lit(p))
     odd = times(r"(?<!\S)(?=\S*\p{L})(?:[;|~`¦_^<>=\\{}]\S*|\S*?[\p{L}\p{N}][;|~`'¦_^<>=\\{}\[\]$%*#]+[\p{L}\p{N}]\S*|\S*[;|~`¦_^<>=\\{}])(?!\S)")
-    return three.select(
+    made = three.select(
         c(key),
         F.when(c("__t").isNotNull(), F.length("__t")).cast("bigint").alias("n_chars"),
         n.cast("bigint").alias("n_words"),
@@ -126,21 +99,95 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         share(F.length("__t") - F.length(F.regexp_replace("__t", _BROKEN, "")), chars).alias("broken_ratio"),
         share(nl - F.size(F.array_distinct("__lines")), nl).alias("duplicate_lines"),
         share(F.size("__paras") - F.size(F.array_distinct("__paras")), F.size("__paras")).alias("duplicate_paragraphs"),
-        share(F.size(F.array_distinct("__words")), n).alias("distinct_words"),
-        share(longest_run(c("__words")), n).alias("top_word"),
-        top(2).alias("top_bigram_coverage"),
-        top(3).alias("top_trigram_coverage"),
-        top(4).alias("top_fourgram_coverage"),
-        F.when(n > 1, share(F.col("__top2.all"), pair_chars)).otherwise(F.lit(0.0)).alias("repeated_bigrams"),
-        share(F.size("__longer") - F.size(F.array_distinct("__longer")), F.size("__longer")).alias("repeated_runs"),
-        share(stretches, n).alias("stretch_words"),
+        "__words",
     )
+    return _with_repetition(made)
+
+
+#: Statistics of repetition, made from a document's words.
+REPETITION = ["distinct_words", "top_word", "top_bigram_coverage", "top_trigram_coverage", "top_fourgram_coverage", "repeated_bigrams", "repeated_runs", "stretch_words"]
+STRETCH = 400
+
+
+def _with_repetition(df: DataFrame) -> DataFrame:
+    """``df``(..., __words array<string>) with a column for each of ``REPETITION`` instead of the words, for all documents of a batch at once in numpy."""
+    names = df.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                lists = part.column(len(names))
+                n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = lists.flatten()
+                word = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                size = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+                out = repetition(n, word, size)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(out[x]) for x in REPETITION]], names=[*names, *REPETITION])
+
+    schema = T.StructType([*df.schema.fields[:-1], *[T.StructField(x, T.DoubleType()) for x in REPETITION]])
+    return df.mapInArrow(run, schema)
+
+
+def repetition(n: np.ndarray, word: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+    """Statistics of documents of ``n`` words each, given all their words in order as numbers (equal words, equal numbers) and lengths."""
+    docs = len(n)
+    doc = np.repeat(np.arange(docs), n)
+    first = np.cumsum(n) - n
+    place = np.arange(len(doc)) - first[doc]
+
+    def share(a: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.where(of > 0, a / np.maximum(of, 1), 0.0)
+
+    def counts(d: np.ndarray, key: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each different key of a document: the document, how often it occurs, its length."""
+        o = np.lexsort((key, d))
+        d, key = d[o], key[o]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (key[1:] != key[:-1])
+        at = np.flatnonzero(new)
+        return d[at], np.diff(np.append(at, len(d))), chars[o][at]
+
+    total = np.bincount(doc, size + 1, docs)  # characters of all words, each with a blank
+    d, times, _ = counts(doc, word, size)
+    most = np.zeros(docs)
+    np.maximum.at(most, d, times)
+    out = {"distinct_words": share(np.bincount(d, minlength=docs), n), "top_word": share(most, n)}
+    code = word.astype(np.uint64) + np.uint64(1)
+    for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):  # each word a number of 64 even bits
+        code = (code ^ (code >> np.uint64(31))) * np.uint64(by)
+    gram, chars = code, size.copy()
+    for k, name in ((2, "top_bigram_coverage"), (3, "top_trigram_coverage"), (4, "top_fourgram_coverage"), (5, "")):
+        m = max(0, len(word) - k + 1)
+        gram = gram[:m] * np.uint64(0x9E3779B97F4A7C15) + code[k - 1 :]
+        gram ^= gram >> np.uint64(29)
+        chars = chars[:m] + size[k - 1 :] + 1
+        inside = place[:m] + k <= n[doc[:m]]
+        d, times, long = counts(doc[:m][inside], gram[inside], chars[inside])
+        again = times > 1
+        if name:
+            most = np.zeros(docs)
+            np.maximum.at(most, d[again], (times * long)[again])
+            out[name] = np.minimum(1.0, share(most, total))
+        if k == 2:
+            ends = np.zeros(docs)
+            some = n > 1
+            ends[some] = size[first[some]] + size[first[some] + n[some] - 1]
+            out["repeated_bigrams"] = np.where(some, share(np.bincount(d[again], (times * long)[again], docs), total * 2 - ends - n - 1), 0.0)
+        if k == 5:
+            windows = np.maximum(n - k + 1, 0)
+            out["repeated_runs"] = share(windows - np.bincount(d, minlength=docs), windows)
+    piece = np.cumsum(-(-n // STRETCH)) - -(-n // STRETCH)
+    d, _, _ = counts(piece[doc] + place // STRETCH, word, size)
+    owner = np.repeat(np.arange(docs), -(-n // STRETCH))
+    out["stretch_words"] = share(np.bincount(owner[d], minlength=docs), n)
+    return out
 
 
 def judged(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``statistics`` and the columns kind ('prose', 'list', 'table', 'junk', 'blank', null for null text) and is_prose.
 
-    Rules are combined in the order junk, table, list; a rule needs most of the
+    Rules are combined in the order table, list, grid of numbers, junk; a rule needs most of the
     document's lines or words, so sloppy prose and prose with a short list or
     some tags stay prose.
     """
