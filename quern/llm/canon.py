@@ -8,7 +8,8 @@ The form keeps what a reader sees and drops the rest:
 * invisible characters (format and control characters, fillers, variation
   selectors) go; a zero-width joiner stays only between two pictographs, where
   it changes the picture;
-* letters of other scripts that look like Latin ones become these;
+* letters of other scripts that look like Latin ones become these, the hyphens
+  that look like the common one become this;
 * combining marks are put in canonical order and composed.
 
 Letter case, visible accents and visible signs stay. The form of a form is
@@ -33,11 +34,14 @@ from quern.session import spread, stored
 # Look-alike letters, each string above its Latin counterpart.
 LOOK_ALIKES = [
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
-    ("οναϲϳ", "ovacj"),  # Greek small letters
+    ("οναρυϲϳ", "ovapucj"),  # Greek small letters
     ("АВЕЅІЈКМНОРСТУХԌԚԜҺӀ", "ABESIJKMHOPCTYXGQWHI"),  # Cyrillic capitals
     ("асеорхуѕіјһԁԛԝѵӏ", "aceopxysijhdqwvl"),  # Cyrillic small letters
     ("օսոհցՕՍ", "ounhgOU"),  # Armenian
     ("ɑɡⅼⅽⅾⅿⅰⅴⅹⅠⅤⅩⅬⅭⅮⅯ", "aglcdmivxIVXLCDM"),  # Latin variants, Roman numerals
+    ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),  # Lisu
+    ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZRWVSLCPKB"),  # Cherokee
+    ("ⲞⲟⲢⲣⲤⲥⲘⲚⲎⲔⲦⲬⲂⲒ", "OoPpCcMNHKTXBI"),  # Coptic
     ("ÐƉ", "ĐĐ"),  # eth and African d, drawn as D with stroke
 ]
 
@@ -66,6 +70,8 @@ def _simple(ch: str, cat: str) -> str | None:
         return "\n"
     if cat in ("Cf", "Cc") or ch in _FILLERS:
         return ""
+    if ch in "\u2010\u2011":
+        return "-"
     if ud.decomposition(ch).startswith(("<wide>", "<narrow>", "<font>")):
         return ud.normalize("NFKC", ch)
     return None
@@ -265,9 +271,9 @@ def look_alike_pairs(df: DataFrame, key: str = "id", text: str = "text") -> Data
     """All pairs (id_a < id_b) of rows with one form but different characters.
 
     Blank texts and rows without a key take no part. Variants are joined first
-    (one row for each text and form), then expanded, so a text that holds a
-    third of all rows costs what its pairs with other variants cost: equal
-    texts are never paired with each other.
+    (one row for each text and form), then expanded, a text of many copies in
+    blocks, so one that holds a third of all rows costs what its pairs with other
+    variants cost, in many tasks: equal texts are never paired with each other.
     """
     d = with_canonical(spread(df.select(F.col(key).alias("id"), F.col(text).alias("text"))), "text", "form")
     d = stored(d.where("id is not null and form <> ''").select("id", F.sha2("form", 256).alias("form"), F.sha2("text", 256).alias("raw")), "forms")
@@ -275,8 +281,10 @@ def look_alike_pairs(df: DataFrame, key: str = "id", text: str = "text") -> Data
     d = d.join(several, "form", "left_semi")
     variants = d.groupBy("form", "raw").agg(F.min("id").alias("first"))
     pairs = variants.alias("a").join(variants.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") < F.col("b.raw"))).select(F.col("a.raw").alias("ra"), F.col("b.raw").alias("rb"))
-    x, y = d.select(F.col("raw").alias("ra"), F.col("id").alias("x")), d.select(F.col("raw").alias("rb"), F.col("id").alias("y"))
-    return pairs.join(x, "ra").join(y, "rb").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    from quern.llm.simjoin import expanded
+
+    members = stored(d.select(F.col("raw").alias("rep"), "id"), "members")
+    return expanded(pairs, members, "ra", "rb").where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def form_classes(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

@@ -68,12 +68,14 @@ class Consensus:
         self.labels, self.posterior, self.annotators = labels, posterior, annotators
 
 
-def consensus(labels: DataFrame, texts: DataFrame, rounds: int = 10, l2: float = 30.0, smooth: float = 2.0) -> Consensus:
+def consensus(labels: DataFrame, texts: DataFrame, rounds: int = 20, l2: float = 30.0, smooth: float = 2.0, still: float = 1e-3) -> Consensus:
     """Fit ``labels``(inner_id, llm_id, annotator, label_human, labelled_at, label_llm, llm_route_reason) with ``texts``(id, text).
 
     Items without a counted label have no row. Items without a text have no
     text features. ``smooth`` are pseudo-counts for each cell of a confusion
-    matrix, half as many again on its diagonal.
+    matrix, half as many again on its diagonal. Rounds end when no annotator's
+    sensitivity or specificity has moved by more than ``still``, at the latest
+    after ``rounds``.
     """
     spark = labels.sparkSession
     human = stored(counted(labels), "labels")
@@ -98,7 +100,11 @@ def consensus(labels: DataFrame, texts: DataFrame, rounds: int = 10, l2: float =
         per = all_labels.join(posterior, "inner_id").groupBy("annotator").agg(
             F.sum(F.col("p") * F.col("label")).alias("p11"), F.sum("p").alias("p1"), F.sum((1 - F.col("p")) * (1 - F.col("label"))).alias("p00"), F.sum(1 - F.col("p")).alias("p0"), F.count(F.lit(1)).alias("n")
         )
-        matrix = stored(per.select("annotator", "n", ((F.col("p11") + 1.5 * smooth) / (F.col("p1") + 2.5 * smooth)).alias("tpr"), ((F.col("p00") + 1.5 * smooth) / (F.col("p0") + 2.5 * smooth)).alias("tnr")), "matrix")
+        before, matrix = matrix, stored(per.select("annotator", "n", ((F.col("p11") + 1.5 * smooth) / (F.col("p1") + 2.5 * smooth)).alias("tpr"), ((F.col("p00") + 1.5 * smooth) / (F.col("p0") + 2.5 * smooth)).alias("tnr")), "matrix")
+        if before is not None:
+            both = matrix.join(before.select("annotator", F.col("tpr").alias("a"), F.col("tnr").alias("b")), "annotator")
+            if (both.agg(F.max(F.greatest(F.abs(F.col("tpr") - F.col("a")), F.abs(F.col("tnr") - F.col("b")))).alias("m")).first().m or 0.0) < still:
+                break
         y = posterior.where(chosen).toPandas().sort_values("inner_id")
         y = y.set_index("inner_id")["p"].reindex(ids).fillna(0.5).to_numpy()
         model = fit(x, y, FEATURES, l2, start=model)

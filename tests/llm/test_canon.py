@@ -33,3 +33,11 @@ def test_pairs(spark):
     assert got == {(1, 2), (2, 3)}
     forms = canon.form_classes(spark.createDataFrame(rows[:7], "id bigint, text string")).collect()
     assert {r.id: r.class_id for r in forms} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7}
+
+
+def test_letters_of_other_scripts_look_like_latin_ones(spark):
+    same = ["PAS COC", "ꓑꓮꓢ ꓚꓳꓚ", "ⲢAS CⲞC", "ᏢᎪᏚ ᏟOᏟ", "РАЅ СОС"]
+    assert {canon.canonical(t) for t in same} == {"PAS COC"} and canon.canonical("a‑b") == canon.canonical("a‐b") == "a-b"
+    df = spark.createDataFrame([*enumerate(same), (9, "pas coc"), (10, same[0])], "id bigint, text string")
+    pairs = {(r.id_a, r.id_b) for r in canon.look_alike_pairs(df).collect()}
+    assert pairs == {(a, b) for a in (0, 1, 2, 3, 4, 10) for b in (0, 1, 2, 3, 4, 10) if a < b and (a, b) != (0, 10)}
