@@ -328,7 +328,15 @@ def half_dedup(s, d):
     return _doubled(s, d).select("id", X.halve_repeated(F.col("t")).alias("half"))
 
 
-@query()
+def q_caption(x: str) -> str:
+    """Three patterns taken out. RE2 knows only ASCII word limits: other letters get underscores (word characters) around them meanwhile."""
+    marked = f"replace(regexp_replace(regexp_replace(replace({x}, '_', '_' || chr(57344) || '_'), '([^\\x00-\\x7F\\x{{E000}}])', chr(57345) || '\\1' || chr(57345), 'g'), '\\x{{E001}}([\\p{{L}}\\p{{Nd}}\\p{{M}}])\\x{{E001}}', '_\\1_', 'g'), chr(57345), '')"
+    for pattern in (r"(?:\b[a-zA-Z0-9]\s){2,}[a-zA-Z0-9]\b", r"\S+\.[a-z]{2,4}\b", r"\b[a-zA-Z0-9]{15,}\b"):
+        marked = f"regexp_replace({marked}, '{pattern}', '', 'g')"
+    return f"trim(regexp_replace(replace(replace({marked}, '_', ''), chr(57344), '_'), '{WS}+', ' ', 'g'))"
+
+
+@query(f"WITH a AS ({_DOUBLED}), b AS (SELECT id, {q_halve('t', 20)} AS t FROM a) SELECT id, {q_caption('t')} AS caption FROM b")
 def caption_clean(s, d):
     return _doubled(s, d).select("id", X.clean_caption(F.col("t")).alias("caption"))
 
