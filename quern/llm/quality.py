@@ -1,7 +1,7 @@
 """Text quality statistics and rules that tell prose from lists, tables and junk (problem 9).
 
-Statistics are Catalyst expressions over arrays of lines and words made once per
-document; those of repetition are made of the words' array in one vectorised pass.
+Statistics of characters and lines are Catalyst expressions; those of words and
+of repetition are made of the array of tokens in one vectorised pass.
 A document is judged in the stage that scans it, without a shuffle. Null texts give null statistics and are not prose; blank texts have
 0 words and are neither prose nor a case.
 """
@@ -59,27 +59,19 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     paragraphs = F.filter(F.split("__t", r"(?:\r?\n\s*){2,}"), lambda x: x.rlike(r"\S"))
     tokens = F.filter(F.split("__t", r"\s+"), lambda x: x != "")
     two = one.withColumns({"__lines": lines, "__paras": paragraphs, "__tokens": tokens})
-    words = F.filter(F.transform("__tokens", lambda x: F.lower(F.regexp_replace(x, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))), lambda x: x != "")
-    three = two.withColumn("__words", words)
-    n, nl, nt = F.size("__words"), F.size("__lines"), F.size("__tokens")
+    nl, nt = F.size("__lines"), F.size("__tokens")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     count = lambda arr, f: F.size(F.filter(arr, f))
     chars = F.length(F.regexp_replace("__t", r"\s+", ""))
     letters = F.length(F.regexp_replace("__t", r"[^\p{L}\p{M}]+", ""))
     digits = F.length(F.regexp_replace("__t", r"[^\p{N}]+", ""))
     pictures = F.length(F.regexp_replace("__t", r"[^\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{200D}]+", ""))
-    alpha = F.filter("__words", lambda x: x.rlike(r"\p{L}"))
-    coded = F.length("__t") - F.length(F.regexp_replace("__t", r"(?<!\S)(?!https?:|www\.|@)(?=\S*[a-z])(?=\S*[A-Z])(?=\S*[0-9])\S{16,}", ""))
     left = F.length(F.regexp_replace(F.regexp_replace("__t", _CONTROLS, ""), r"[^\p{L}\p{N}]+", ""))
-    times = lambda p: F.regexp_count("__t", F.lit(p))
-    odd = times(r"(?<!\S)(?=\S*\p{L})(?:[;|~`¦_^<>=\\{}]\S*|\S*?[\p{L}\p{N}][;|~`'¦_^<>=\\{}\[\]$%*#]+[\p{L}\p{N}]\S*|\S*[;|~`¦_^<>=\\{}])(?!\S)")
-    made = three.select(
+    made = two.select(
         c(key),
         F.when(c("__t").isNotNull(), F.length("__t")).cast("bigint").alias("n_chars"),
-        n.cast("bigint").alias("n_words"),
         nl.cast("bigint").alias("n_lines"),
-        share(F.aggregate("__words", F.lit(0), lambda a, x: a + F.length(x)), n).alias("mean_word_length"),
-        share(n, nl).alias("words_per_line"),
+        chars.alias("__chars"),
         share(chars - letters - digits, chars).alias("symbol_ratio"),
         share(letters, chars).alias("letter_ratio"),
         share(digits, chars).alias("digit_ratio"),
@@ -88,47 +80,105 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         share(count("__lines", lambda x: x.rlike(_ITEM)), nl).alias("item_lines"),
         share(count("__lines", lambda x: x.rlike(_CELL) & (F.size(F.split(x, r"\t|\s*\|\s*|;|\s/\s|\s{3,}")) > 2)), nl).alias("cell_lines"),
         share(count("__lines", lambda x: F.size(F.split(F.trim(x), r"\s+")) <= 7), nl).alias("short_lines"),
-        share(count("__words", lambda x: x.isin(COMMON_WORDS)), n).alias("common_words"),
-        share(times(r"(?<!\S)[#@]\S"), nt).alias("tag_ratio"),
-        share(times(r"(?<!\S)(?:(?:https?:|www\.)\S*|\S*?\.(?:com|vn|net|example|test)\b\S*)"), nt).alias("link_ratio"),
-        share(F.size(alpha), n).alias("alpha_words"),
-        share(count(alpha, lambda x: F.length(x) <= 1), F.size(alpha)).alias("single_letters"),
-        share(odd, nt).alias("odd_tokens"),
-        F.when(n > 0, 1 - share(left, F.length(F.regexp_replace("__t", r"[^\p{L}\p{N}]+", "")))).otherwise(F.lit(0.0)).alias("control_ratio"),
-        share(coded, chars).alias("coded_ratio"),
+        (1 - share(left, F.length(F.regexp_replace("__t", r"[^\p{L}\p{N}]+", "")))).alias("control_ratio"),
         share(F.length("__t") - F.length(F.regexp_replace("__t", _BROKEN, "")), chars).alias("broken_ratio"),
         share(nl - F.size(F.array_distinct("__lines")), nl).alias("duplicate_lines"),
         share(F.size("__paras") - F.size(F.array_distinct("__paras")), F.size("__paras")).alias("duplicate_paragraphs"),
-        "__words",
+        F.when(nt >= 0, c("__tokens")).otherwise(F.array().cast("array<string>")).alias("__tokens"),
     )
-    return _with_repetition(made)
+    made = _with_words(made)
+    n, nl = c("n_words"), c("n_lines")
+    return made.withColumns({"words_per_line": share(n, nl), "control_ratio": F.when(n > 0, c("control_ratio")).otherwise(F.lit(0.0))}).select(key, *STATISTICS)
 
 
-#: Statistics of repetition, made from a document's words.
+#: The columns of ``statistics``.
+STATISTICS = [
+    "n_chars", "n_words", "n_lines", "mean_word_length", "words_per_line", "symbol_ratio", "letter_ratio", "digit_ratio", "picture_ratio", "ended_lines", "item_lines", "cell_lines", "short_lines", "common_words", "tag_ratio", "link_ratio", "alpha_words", "single_letters", "odd_tokens", "control_ratio", "coded_ratio", "broken_ratio", "duplicate_lines", "duplicate_paragraphs",
+    "distinct_words", "top_word", "top_bigram_coverage", "top_trigram_coverage", "top_fourgram_coverage", "repeated_bigrams", "repeated_runs", "stretch_words",
+]
+#: Statistics that are made of a document's words and tokens (runs without blanks).
+WORDS = ["mean_word_length", "common_words", "tag_ratio", "link_ratio", "alpha_words", "single_letters", "odd_tokens", "coded_ratio"]
+
+#: Statistics of repetition, made of a document's words.
 REPETITION = ["distinct_words", "top_word", "top_bigram_coverage", "top_trigram_coverage", "top_fourgram_coverage", "repeated_bigrams", "repeated_runs", "stretch_words"]
 STRETCH = 400
 
 
-def _with_repetition(df: DataFrame) -> DataFrame:
-    """``df``(..., __words array<string>) with a column for each of ``REPETITION`` instead of the words, for all documents of a batch at once in numpy."""
-    names = df.columns[:-1]
+class _Tokens(dict):
+    """What a token is by itself: the word in it, whether it is a tag, a link, odd, how much of it is code."""
+
+    def __init__(self) -> None:
+        import regex
+
+        blank = r"[^ \t\n\x0b\f\r]"
+        self.trim = regex.compile(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$")
+        self.letter = regex.compile(r"\p{L}")
+        self.link = regex.compile(rf"(?:https?:|www\.)|{blank}*?\.(?:com|vn|net|example|test)\b")
+        self.odd = regex.compile(r"[;|~`¦_^<>=\\{}].*|.*?[\p{L}\p{N}][;|~`'¦_^<>=\\{}\[\]$%*#]+[\p{L}\p{N}].*|.*[;|~`¦_^<>=\\{}]", regex.DOTALL)
+        self.code = regex.compile(r"(?!https?:|www\.|@)(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{16,}", regex.DOTALL)
+        self.common = frozenset(COMMON_WORDS)
+
+    def __missing__(self, token: str) -> tuple:
+        if len(self) >= 500_000:
+            self.clear()
+        word, letter = self.trim.sub("", token).lower(), bool(self.letter.search(token))
+        alpha = bool(word) and bool(self.letter.search(word))
+        out = self[token] = (
+            word, len(word), word in self.common, alpha, alpha and len(word) <= 1, len(token) > 1 and token[0] in "#@", bool(self.link.match(token)), letter and bool(self.odd.fullmatch(token)), len(token) if self.code.fullmatch(token) else 0,
+        )
+        return out
+
+
+_known: _Tokens | None = None
+
+
+def _with_words(df: DataFrame) -> DataFrame:
+    """``df``(..., __chars, ..., __tokens array<string>) with n_words, ``WORDS`` and ``REPETITION`` instead of chars and tokens, for all documents of a batch at once.
+
+    A token is looked at once a batch however often it occurs, and remembered.
+    """
+    names = [x for x in df.columns[:-1] if x != "__chars"]
+    at_chars, made = df.columns.index("__chars"), ["n_words", *WORDS, *REPETITION]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _known
+        _known = known = _known or _Tokens()
         for b in batches:
             for start in range(0, b.num_rows, 2000):
                 part = b.slice(start, 2000)
-                lists = part.column(len(names))
-                n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = lists.flatten()
-                word = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                size = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
-                out = repetition(n, word, size)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(out[x]) for x in REPETITION]], names=[*names, *REPETITION])
-
-    schema = T.StructType([*df.schema.fields[:-1], *[T.StructField(x, T.DoubleType()) for x in REPETITION]])
+                lists = part.column(part.num_columns - 1)
+                of = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = lists.flatten().dictionary_encode()
+                at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                facts = [known[x] for x in coded.dictionary.to_pylist()]
+                doc = np.repeat(np.arange(part.num_rows), of)
+                chars = part.column(at_chars).fill_null(0).to_numpy(zero_copy_only=False)
+                out = token_statistics(of, doc, at, facts, chars)
+                keep = [i for i in range(part.num_columns - 1) if i != at_chars]
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in keep], *[pa.array(out[x]) for x in made]], names=[*names, *made])
+
+    fields = [f for f in df.schema.fields[:-1] if f.name != "__chars"]
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), *[T.StructField(x, T.DoubleType()) for x in made[1:]]])
     return df.mapInArrow(run, schema)
 
 
+def token_statistics(of: np.ndarray, doc: np.ndarray, at: np.ndarray, facts: list[tuple], chars: np.ndarray) -> dict[str, np.ndarray]:
+    """``WORDS`` and ``REPETITION`` of documents of ``of`` tokens each; ``at`` says for each token which of ``facts`` it has."""
+    docs = len(of)
+    number: dict[str, int] = {}
+    word = np.array([number.setdefault(f[0], len(number)) for f in facts], np.int64) if facts else np.empty(0, np.int64)
+    size, common, alpha, single, tag, link, odd, code = (np.array([f[i] for f in facts], np.int64)[at] if facts else np.empty(0, np.int64) for i in range(1, 9))
+    is_word = size > 0
+    total = lambda x: np.bincount(doc, x, docs)
+    share = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 0.0)
+    n = np.bincount(doc[is_word], minlength=docs)
+    letters = total(alpha)
+    out = {
+        "n_words": n, "mean_word_length": share(total(size), n), "common_words": share(total(common), n), "tag_ratio": share(total(tag), of), "link_ratio": share(total(link), of), "alpha_words": share(letters, n), "single_letters": share(total(single), letters), "odd_tokens": share(total(odd), of), "coded_ratio": share(total(code), chars),
+    }
+    return out | repetition(n, (word[at] if facts else at)[is_word], size[is_word])
+
+
 def repetition(n: np.ndarray, word: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
     """Statistics of documents of ``n`` words each, given all their words in order as numbers (equal words, equal numbers) and lengths."""
     docs = len(n)

@@ -189,3 +189,14 @@ def test_copies_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
     rows = [(r.id_a, r.id_b) for r in simjoin.near_pairs(df, **OPTIONS).collect()]
     assert len(rows) == len(set(rows)) == 14 * 13 // 2
+
+
+def test_screening_of_nulls_and_nothing(spark):
+    kind = "batch_id int, id bigint, text string, source string, h int"
+    t = "a b c d e f g h i"
+    history = spark.createDataFrame([(1, None), (2, ""), (3, t), (None, t + " j")], "id bigint, text string")
+    new = spark.createDataFrame([(1, 10, t, "s", 1), (None, 11, None, None, 1), (1, 12, t + " z", None, 1), (2, None, "x y z", "s", 1), (2, 13, "q w e r t y u i o p " * 3000, "s", 1), (2, 14, "q w e r t y u i o p " * 3000, "s", 1)], kind)
+    found = lambda h, b: sorted(r.id for r in batches.deduplicated(spark, h, b, **OPTIONS).collect())
+    assert found(history, new) == [10, 12, 14] and found(history.limit(0), new) == [12, 14] and found(history.limit(0), new.limit(0)) == []
+    rows = batches.deduplicated(spark, history, new, batches.report, **OPTIONS).collect()
+    assert sum(r.n_rows for r in rows) == 6 and sum(r.n_accepted for r in rows) == 3
