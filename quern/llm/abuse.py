@@ -79,6 +79,7 @@ _BEASTS = "sau bo|suc vat|suc sinh|ha dang|rac ruoi|vermin|scum|ky sinh|ruoi nha
 _LOW = f"{_BEASTS}|ban thiu|an cap|luoi bieng|luoi nhac|vo on|pha nat|pha hoai|xui|benh hoan|hau nguoi|khong xung|khong dang|thap kem|man ro|tranh nhu dich|ton com|di hop|dirty|thieves|lazy"
 _HIT = "dap|dam|chem|giet|phang|dot|bop co|xien|vo mat|dap chet|danh|ban|kil|beat|punch"
 _SEX = "nude|nudes|sex|sexy|porn|x{2,}|gai goi|lam tinh|kich duc|khoa than|dit|bu cu|lo hang|phim cap ba|khong che|dam dang|dam duc|thu dam|quay len|clip nong|cave|mai dam|ngoai tinh|hot girl|them lam|tan giuong|bao phe|len dinh"
+_ENGLISH = "moron|idiot|stupid|dumb|filthy|bitch|whore|slut|bastard|ashole|fuck|cunt|retard|scum|trash|garbage|loser|worthles|nobody wants you|shut up|piece of"
 _MORE = r"(?: \w+){0,%d}"
 
 
@@ -87,6 +88,11 @@ def _near(left: str, right: str, gap: int) -> str:
     return rf"\b(?:{left}){_MORE % gap} (?:{right})\b"
 
 
+def _heads(phrases: str) -> frozenset[str]:
+    """The first one or two words of each phrase."""
+    return frozenset(" ".join(x.split()[:2]) for x in phrases.split("|"))
+
+
 def _firsts(phrases: str) -> str:
     return " ".join(dict.fromkeys(x.split()[0] for x in phrases.split("|")))
 
@@ -95,10 +101,10 @@ def _lasts(phrases: str) -> str:
     return " ".join(dict.fromkeys(x.split()[-1] for x in phrases.split("|")))
 
 
-#: Voters for unsafe: what they look for in the plain form, and sets of words (parted by |) of each of which one must be there, to look at all.
-UNSAFE: dict[str, tuple[str, str]] = {
+#: Voters for unsafe: what they look for in the plain form, and what must be there to look at all: one of these phrases (of at most two words), or one word of each of these sets (parted by |).
+UNSAFE: dict[str, tuple[str, str | frozenset[str]]] = {
     "vile_person": (rf"\b(?:{_KIND}) (?:{_VILE})\b(?! thoai| tu| tich| may| nuoi)", f"{_firsts(_KIND)}|{_firsts(_VILE)}|{_lasts(_VILE)}"),
-    "vile_word": (rf"\b(?:{_STRONG})\b(?! nuoi)", f"{_firsts(_STRONG)}|{_lasts(_STRONG)}"),
+    "vile_word": (rf"\b(?:{_STRONG})\b(?! nuoi)", _heads(_STRONG)),
     "ngu": (r"\b(?:lu|bon|thang|do|qua|sao|dung la|toan|vua) ngu\b(?! di| roi| ngon| ngay| truong| trua| muon| lai| chut| som)|\bngu (?:nhu|vl|vai|qua|the|ve|lam|bm|bo)\b", "ngu"),
     "you_are": (rf"\b(?:{_YOU}) (?:dung |chi |cung |qua |van )*(?:la|nhu|are) (?!ai\b|gi\b)(?:do|thang|con|lu|loai|cai|mot|thu|worthles|a|so|mat|oc|an)\b", "may mai m mi bay you|la nhu are|do thang con lu loai cai mot thu worthles a so mat oc an"),
     "like_you": (rf"\b(?:mat|ban mat|cai mat|loai|thu|hang)(?: nhu)? (?:{_YOU})\b|\b(?:ra|de ra|day) (?:{_YOU})\b|\b(?:cua|voi) (?:{_YOU}) (?:chi|toan|ma|di)\b", "may mai m mi bay|mat loai thu hang ra day cua voi"),
@@ -115,26 +121,30 @@ UNSAFE: dict[str, tuple[str, str]] = {
     "inferior": (r"\b(?:sinh ra|sinh|de)" + _MORE % 2 + r" (?:hau|phuc vu|lam no|de hau)\b|\bkhong (?:xung|dang) (?:lam|song|la)\b|\b(?:doi|bay dat)" + _MORE % 2 + r" (?:binh dang|quyen|bang vai)\b|\bbang vai\b", "hau no xung dang quyen vai phuc|sinh de khong doi bay bang"),
     "useless": (r"\b(?:ton (?:com|oxy|dat|gao)|phi (?:com|cong|gao)|chi ton|vo dung|vo tich su|co ich|an hai|chi biet an|worthles|useles|nobody wants)\b|\b(?:uong|la) phi\b|\bnuoi" + _MORE % 3 + r" (?:ich|hon)\b|\bnao (?:de|khong|cua)\b", "ton phi vo co hai an worthles useles nobody nuoi nao|com oxy dat gao cong chi dung su ich an worthles useles nobody la uong hon de khong cua"),
     "disdain": (r"\b(?:khinh|nhuc nha|kinh tom|ngua mat|ghe tom|thoi nat|ma cung (?:viet|noi|doi|dang|choi)|ma doi)\b|\bcai mat nhu\b|\bnhu cai\b", "khinh nhuc kinh ngua ghe thoi ma cai|khinh nha tom mat nat cung doi mat nhu"),
-    "sex_word": (rf"\b(?:{_SEX})\b", f"{_firsts(_SEX)} xx xxx xxxx|{_lasts(_SEX)} xx xxx xxxx"),
+    "sex_word": (rf"\b(?:{_SEX})\b", _heads(_SEX) | {"xx"}),
     "sex_body": (r"\b(?:nguc|mong|vu|dui)" + _MORE % 1 + r" (?:to|khung|cong|bu|tron)\b", "nguc mong vu dui|to khung cong bu tron"),
     "sex_want": (r"\b(?:them|muon|day|coi|xem|gui|share|send|quay|chat)" + _MORE % 4 + r" (?:lam tinh|nudes?|vu|clip|sex|phang|x|nhay|anh sung|cho xem|de ra|vao le)\b", "them muon day coi xem gui share send quay chat|tinh nude nudes vu clip sex phang x nhay sung xem de le"),
     "price_night": (r"\b(?:\w+ )?(?:mot|1|qua|ca) dem\b|\b(?:tau nhanh|di khach|bao phe|phuc vu|tan giuong|massage|hang ngon|gai ngon)\b", "mot 1 qua ca tau di bao phuc tan massage hang gai|dem nhanh khach phe vu giuong massage ngon"),
     "contact": (r"\b(?:ib|inbox|nhan|zalo|link|share|gui|qua phong|qua nha|vao le)" + _MORE % 4 + r" (?:clip|nudes?|khong che|cmt|nong)\b|\bai (?:qua phong|ranh nghe|muon xem)\b", "ib inbox nhan zalo link share gui qua vao ai|clip nude nudes che cmt nong phong nghe xem"),
-    "abuse_en": (r"\b(?:moron|idiot|stupid|dumb|filthy|bitch|whore|slut|bastard|ashole|fuck|cunt|retard|scum|trash|garbage|loser|worthles|nobody wants you|shut up|piece of)\b", "moron idiot stupid dumb filthy bitch whore slut bastard ashole fuck cunt retard scum trash garbage loser worthles nobody shut piece"),
+    "abuse_en": (rf"\b(?:{_ENGLISH})\b", _heads(_ENGLISH)),
 }
+_TEACHING = "giao duc|gioi tinh|suc khoe|bac si|benh vien|xet nghiem|kham|tiem ngua|vac xin|bai giang|tai lieu|nghien cuu|hoc sinh|tu van|sinh hoc|y te|thuoc|ung thu|dinh ky|phu khoa|tu cung|thai|sinh san"
+_EVERYDAY = "con cho nha|cun|thit cho|cho meo|cho con|suc vat nuoi|quan tai go|do cho choi|ca chep|giong heo|heo quay|ga ta|nuoi heo|chan nuoi|nguc ga|mong tay|hang xom|dem trung thu|mot dem mua"
+_QUOTED = "dung noi|khong nen noi|bi goi la|ban quyen|nghia cua tu|tu dien|phan anh|bai viet ve|nguoi ta hay goi|bao cao|to cao|len an|bi chui|bi mang"
+_EMPHASIS = "vai|vl|vcl|dm|dmm|cmn|vai ca|vai chuong|me no|qua troi|dien dao|chet me|cuoi chet|chet cuoi|dep dien|ngon vl|dinh cua chop"
 #: Voters for safe.
-SAFE: dict[str, tuple[str, str]] = {
-    "teaching": (r"\b(?:giao duc|gioi tinh|suc khoe|bac si|benh vien|xet nghiem|kham|tiem ngua|vac xin|bai giang|tai lieu|nghien cuu|hoc sinh|tu van|sinh hoc|y te|thuoc|ung thu|dinh ky|phu khoa|tu cung|thai|sinh san)\b", "duc tinh khoe si vien nghiem kham ngua xin giang lieu cuu sinh van hoc te thuoc thu ky cung thai san"),
-    "everyday": (r"\b(?:con cho nha|cun|thit cho|cho meo|cho con|suc vat nuoi|quan tai go|do cho choi|ca chep|giong heo|heo quay|ga ta|nuoi heo|chan nuoi|nguc ga|mong tay|hang xom|dem trung thu|mot dem mua)\b", "cho cun meo con nuoi go choi chep heo ga tay xom thu mua"),
-    "quoted": (r"\b(?:dung noi|khong nen noi|bi goi la|ban quyen|nghia cua tu|tu dien|phan anh|bai viet ve|nguoi ta hay goi|bao cao|to cao|len an|bi chui|bi mang)\b", "noi goi quyen tu anh viet cao an chui mang"),
-    "emphasis": (r"\b(?:vai|vl|vcl|dm|dmm|cmn|vai ca|vai chuong|me no|qua troi|dien dao|chet me|cuoi chet|chet cuoi|dep dien|ngon vl|dinh cua chop)\b", "vai vl vcl dm dmm cmn no troi dao chet dien chop"),
+SAFE: dict[str, tuple[str, str | frozenset[str]]] = {
+    "teaching": (rf"\b(?:{_TEACHING})\b", _heads(_TEACHING)),
+    "everyday": (rf"\b(?:{_EVERYDAY})\b", _heads(_EVERYDAY)),
+    "quoted": (rf"\b(?:{_QUOTED})\b", _heads(_QUOTED)),
+    "emphasis": (rf"\b(?:{_EMPHASIS})\b", _heads(_EMPHASIS)),
 }
 #: Besides these a model learnt from the reviewed texts votes, and the reviewers themselves do.
 VOTERS = [*UNSAFE, *SAFE, "like_unsafe", "like_safe", "review"]
 
 
-def _compiled(voters: dict[str, tuple[str, str]]) -> list[tuple[re.Pattern[str], list[frozenset[str]]]]:
-    return [(re.compile(p), [frozenset(x.split()) for x in words.split("|")]) for p, words in voters.values()]
+def _compiled(voters: dict[str, tuple[str, str | frozenset[str]]]) -> list[tuple[re.Pattern[str], list[frozenset[str]]]]:
+    return [(re.compile(p), [words] if isinstance(words, frozenset) else [frozenset(x.split()) for x in words.split("|")]) for p, words in voters.values()]
 
 
 _UP, _DOWN = _compiled(UNSAFE), _compiled(SAFE)
@@ -142,7 +152,8 @@ _UP, _DOWN = _compiled(UNSAFE), _compiled(SAFE)
 
 def votes(plain_text: str, review: int | None, like: float = 0.5) -> list[int]:
     """1 unsafe, 0 safe, -1 abstains, in the order of VOTERS; like: what the model of the reviewed texts says."""
-    there = set(plain_text.split())
+    words = plain_text.split()
+    there = {*words, *map(" ".join, zip(words, words[1:], strict=False))}
     apart = there.isdisjoint
     up = [1 if not any(map(apart, w)) and p.search(plain_text) else -1 for p, w in _UP]
     down = [0 if not any(map(apart, w)) and p.search(plain_text) else -1 for p, w in _DOWN]
