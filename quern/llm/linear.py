@@ -72,9 +72,15 @@ def log_ratios(x: Sparse, y: np.ndarray, size: int, weight: np.ndarray, least: i
 
 
 def fit_scaled(x: Sparse, y: np.ndarray, size: int, l2: float, steps: int, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """As ``fit``, with each feature scaled by its log ratio, so that telling features are learnt at once."""
+    """As ``fit``, with each feature scaled by its log ratio, so that telling features are learnt at once.
+
+    Weights count by their proportions, with a mean of 1: what a sample gives
+    doesn't depend on how large a table it stands for. Else smoothing and
+    ``l2`` would be lost beside the weights of a large one.
+    """
     if not x.rows:
         return np.zeros(size), 0.0
+    weight = weight / weight.mean()
     r = log_ratios(x, y, size, weight)
     used = np.flatnonzero(r)
     v, total = np.full(size, 0.3), weight.sum()

@@ -206,3 +206,14 @@ def test_quick_look_misses_no_text():
         t = "".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 14)))
         if len(pii.Document(t).nodes()):
             assert pii.may_have_nodes(t), t
+
+
+def test_scaled_fit_of_a_sample_is_the_same_for_any_size_of_the_table():
+    from quern.llm.linear import Sparse, fit_scaled
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 6)) for _ in range(300)]
+    y = np.array([0.9 if 7 in r or 11 in r else 0.01 for r in rows])
+    weight = np.where(y > 0.5, 1.0, 12.0)
+    fitted = [fit_scaled(Sparse(rows, 0.25), y, 64, l2=0.1, steps=120, weight=weight * times) for times in (1, 1000)]
+    assert np.allclose(fitted[0][0], fitted[1][0], atol=1e-6) and abs(fitted[0][1] - fitted[1][1]) < 1e-6
