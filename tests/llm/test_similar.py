@@ -1,10 +1,12 @@
 import random
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 
 from quern.llm import batches, simjoin
 from quern.llm.words import words
+from quern.session import shared_dir
 
 OPTIONS = {"k": 3, "t": Fraction(1, 2), "least": 8}
 
@@ -200,3 +202,24 @@ def test_screening_of_nulls_and_nothing(spark):
     assert found(history, new) == [10, 12, 14] and found(history.limit(0), new) == [12, 14] and found(history.limit(0), new.limit(0)) == []
     rows = batches.deduplicated(spark, history, new, batches.report, **OPTIONS).collect()
     assert sum(r.n_rows for r in rows) == 6 and sum(r.n_accepted for r in rows) == 3
+
+
+def test_meetings_that_leave_no_room_for_the_overlap_are_left_out(spark):
+    # of 12 runs each, 8 must be shared; a run at places 0 and 6 has at most 5 behind it in b
+    e = spark.createDataFrame([(1, 10, 12, 0), (1, 11, 12, 6), (2, 10, 12, 1), (2, 11, 12, 2)], "sh bigint, id bigint, n int, pos int")
+    assert [tuple(r) for r in simjoin.meetings(e, e, Fraction(1, 2)).collect()] == [(10, 11, 8)]
+
+
+def test_runs_are_merged_in_parts_and_leave_nothing_on_disk(spark):
+    texts = corpus(11)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    reps = simjoin.word_table(df.where("length(text) > 40")).select("id", "words")
+    counts = simjoin.run_counts(reps, 3)
+    rows = lambda *part: sorted(map(tuple, simjoin.entries(reps, counts, 3, Fraction(1, 2), 2, *part).collect()))
+    parts = [rows(i, simjoin.PARTS) for i in range(simjoin.PARTS)]
+    assert simjoin.PARTS > 1 and all(parts) and sorted(sum(parts, [])) == rows()
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    before = names()
+    simjoin.near_duplicates(df, hot=2, **OPTIONS)
+    assert sorted(x.split("-")[0] for x in names() - before) == ["members", "met", "pairs", "reps"]
