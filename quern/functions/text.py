@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -76,11 +77,16 @@ def distinct_neighbours(lines: Column) -> Column:
     return F.filter(lines, lambda x, i: (i == 0) | (x != F.get(lines, i - 1)))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named there."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def drop_repeated_tail(lines: Column) -> Column:
     """Without the longest block at the end that only repeats the block before it; done once."""
     n = F.size(lines)
     half = F.floor(n / 2).cast("int")
-    same = F.filter(F.sequence(F.lit(1), F.greatest(half, F.lit(1))), lambda k: (2 * k <= n) & (F.slice(lines, n - k + 1, k) == F.slice(lines, F.greatest(n - 2 * k + 1, F.lit(1)), k)))
+    same = F.filter(F.sequence(F.lit(1), F.greatest(half, F.lit(1))), lambda k: (2 * k <= n) & (F.get(lines, n - 1) == F.get(lines, n - 1 - k)) & (F.slice(lines, n - k + 1, k) == F.slice(lines, F.greatest(n - 2 * k + 1, F.lit(1)), k)))
     return F.when(n < 2, lines).otherwise(F.slice(lines, F.lit(1), n - F.coalesce(F.array_max(same), F.lit(0))))
 
 
@@ -104,8 +110,9 @@ def clean_caption(c: Column) -> Column:
 
 def clean_facebook(c: Column) -> Column:
     """A scraped page post: without a repeated block of lines at its end, halved if doubled; null if nothing is left."""
-    once = strip(F.array_join(drop_repeated_tail(F.split(strip(c), "\n")), "\n"))
-    return F.when(strip(c) != "", blank_to_null(halve_repeated(once)))
+    tailless = lambda t: _once(F.split(t, "\n"), drop_repeated_tail)
+    halved = lambda t: _once(strip(F.array_join(tailless(t), "\n")), halve_repeated)
+    return _once(strip(c), lambda t: F.when(t != "", _once(halved(t), lambda x: F.when(x != "", x))))
 
 
 def word_grams(c: Column, k: int = 3) -> Column:

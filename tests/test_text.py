@@ -54,5 +54,13 @@ def test_facebook_posts(spark):
     assert clean(" a\nb\na\nb ") == "a\nb" and clean("câu A câu A") == "câu A" and clean("x\ny") == "x\ny"
 
 
+def test_facebook_posts_strip_and_split_a_text_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("t")).select(X.clean_facebook(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 and plan.count("regexp_replace(") <= 10
+    clean = lambda v: one(spark, v, X.clean_facebook)
+    lines = "\n".join(f"dòng {i}" for i in range(300))
+    assert clean(f"{lines}\n{lines}") == lines and clean("a\n\na\n\na") == "a" and clean("b a\na\nx\na") == "b a\na\nx\na"
+
+
 def test_word_grams(spark):
     assert one(spark, "a b c a b c", X.word_grams) == ["a b c", "b c a", "c a b"] and one(spark, "a b", X.word_grams) == ["a b"] and one(spark, "", X.word_grams) == [""]
