@@ -41,3 +41,15 @@ def test_letters_of_other_scripts_look_like_latin_ones(spark):
     df = spark.createDataFrame([*enumerate(same), (9, "pas coc"), (10, same[0])], "id bigint, text string")
     pairs = {(r.id_a, r.id_b) for r in canon.look_alike_pairs(df).collect()}
     assert pairs == {(a, b) for a in (0, 1, 2, 3, 4, 10) for b in (0, 1, 2, 3, 4, 10) if a < b and (a, b) != (0, 10)}
+
+
+def test_replacements_settle_in_any_order():
+    table = canon.translation()
+    assert not {ord(ch) for to in table.values() for ch in to} & table.keys()
+    rng = random.Random(6)
+    odd = [*map(chr, table), *"ae \n\r‍️👨👩̛̣̀́"]
+    for text in ("".join(rng.choice(odd) for _ in range(rng.randrange(20))) for _ in range(2000)):
+        want = text
+        for pattern, to in canon._PYTHON_BEFORE:
+            want = pattern.sub(to, want)
+        assert canon._full(text) == unicodedata.normalize("NFC", unicodedata.normalize("NFD", want).translate(table))

@@ -223,3 +223,45 @@ def test_runs_are_merged_in_parts_and_leave_nothing_on_disk(spark):
     before = names()
     simjoin.near_duplicates(df, hot=2, **OPTIONS)
     assert sorted(x.split("-")[0] for x in names() - before) == ["members", "met", "pairs", "reps"]
+
+
+def test_a_store_hashes_each_record_once(spark, monkeypatch):
+    texts = corpus(13)
+    rows, whole = [], batches.entries
+    monkeypatch.setattr(batches, "entries", lambda reps, *a, **o: rows.append(reps.count()) or whole(reps, *a, **o))
+    store = batches.HashStore(spark, k=3, t=Fraction(1, 2), least=8, buckets=4)
+    store.append(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"))
+    kept = store.table("text")
+    assert len(rows) == batches.PARTS > 1 and all(rows) and sum(rows) == kept.count()
+    want = whole(kept, store.counts, 3, Fraction(1, 2))
+    assert sorted(map(tuple, store.table("run").drop("turn").collect())) == sorted(map(tuple, want.collect()))
+    store.drop()
+
+
+def test_many_texts_at_a_time_have_the_paragraphs_and_hashes_of_each():
+    import pyarrow as pa
+
+    from quern.llm.words import WordHash, hash_batch, hash_column, paragraph_texts, paragraphs
+
+    rng = random.Random(14)
+    signs = list("aAbÀİßΣ1²½_-.!?…:;, \n\r\t\x1c 　‍️👩́ơһＡ中Ⅷ①")
+    texts = [None, "", ".", "\n", "a.", "..a", *("".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(3000))]
+    got = paragraph_texts(texts)
+    assert got == ["\n".join(paragraphs(x)) for x in texts] and paragraph_texts([]) == []
+    for some in (got, [x for x in got if x], [None, "a b\nc"], []):
+        col, memo = pa.array(some, pa.string()), WordHash()
+        for mine, each in zip(hash_column(col, memo), hash_batch([x or "" for x in some], memo), strict=True):
+            assert (mine == each).all() and len(mine) == len(each)
+        for mine, each in zip(hash_column(col[1:], memo), hash_batch([x or "" for x in some[1:]], memo), strict=True):
+            assert (mine == each).all() and len(mine) == len(each)
+
+
+def test_room_decides_as_the_needed_overlap_does():
+    # what the join of meetings asks first is the same as need <= room, and no room is larger than either record
+    for t in (Fraction(1, 2), Fraction(4, 5), Fraction(7, 9)):
+        up, down = t.numerator, t.numerator + t.denominator
+        for na in range(1, 25):
+            for nb in range(1, 25):
+                for pa, pb in ((0, 0), (na - 1, 0), (na // 2, nb // 3), (na // 3, nb - 1)):
+                    room = min(pa, pb) + min(na - pa, nb - pb)
+                    assert ((na + nb) * up <= room * down) == (-(-(na + nb) * up // down) <= room) and room <= min(na, nb)
